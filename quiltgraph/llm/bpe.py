@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -337,7 +338,7 @@ def vocabulary(ranks: bytes) -> Vocabulary:
 
 def _pieces(batch: pa.RecordBatch, text: pa.Array, most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Parts of a batch of some ``most`` bytes of text, one row at least."""
-    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         base = int(ends[at - 1]) if at else 0
