@@ -19,9 +19,10 @@ output column whose name is taken gets an underscore.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 
 WINDOW = 1 << 19  # code points scanned at a time
 COLUMN = 256  # length of a block in the scan
-CACHE = 1 << 19  # slices kept by a worker
+CACHE = 1 << 17  # slices in each of a worker's two generations
 CACHED_LENGTH = 48
 SHORT = 64  # bytes of a slice that is merged by plain lists
 
@@ -190,6 +191,7 @@ class Vocabulary:
         self.blob = np.frombuffer(b"".join(parts), np.uint8)
         self.parts = parts
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Adjacent pairs joined by lowest rank, leftmost first, in O(n log n)."""
@@ -241,10 +243,10 @@ class Vocabulary:
         """Ids of one slice as little-endian 32-bit integers."""
         got = self.cache.get(piece)
         if got is None:
-            got = np.array(self.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+            got = self.older.get(piece) or np.array(self.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
             if len(piece) <= CACHED_LENGTH:
                 if len(self.cache) >= CACHE:
-                    self.cache.clear()
+                    self.cache, self.older = {}, self.cache
                 self.cache[piece] = got
         return got
 
@@ -268,7 +270,7 @@ class Vocabulary:
     def _slices(self, text: str, begin: np.ndarray, end: int) -> list[bytes]:
         cuts = begin.tolist()
         cuts.append(end)
-        get, slow = self.cache.get, self.encode_slice
+        get, slow = self.cache.get, self.encode_slice  # an older generation's get is only slower
         return [get(p) or slow(p) for p in [text[a:b] for a, b in zip(cuts, cuts[1:])]]
 
     def _encode_group(self, texts: list[str], group: list[int], out: list[bytes]) -> None:
@@ -347,44 +349,57 @@ def _pieces(batch: pa.RecordBatch, text: pa.Array, most: int = 8 << 20) -> Itera
         at = to
 
 
-def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", ends: str = "ends") -> DataFrame:
-    """``df`` with packed 32-bit ids of ``text`` and the 64-bit end offset of each token's bytes."""
-    ranks = read_small_file(df.sparkSession, ranks_path)  # fixed size: a vocabulary
-    schema = T.StructType([*df.schema.fields, T.StructField(free_name(df, ids), T.BinaryType()), T.StructField(free_name(df, ends), T.BinaryType())])
-    names, at = schema.names, df.columns.index(text)
+Batches = Iterator[pa.RecordBatch]
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoder(ranks: bytes, at: int, names: list[str]) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         v = vocabulary(ranks)
         for whole in batches:
             for batch, column in _pieces(whole, whole.column(at)):
                 got = v.encode_all([x or "" for x in column.to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary()), pa.array([v.ends(x) for x in got], pa.binary())], names=names)
 
-    return df.mapInArrow(run, schema)
+    return run
 
 
-def decode(df: DataFrame, ranks_path: str, ids: str = "ids", ends: str = "ends", decoded: str = "decoded") -> DataFrame:
-    """``df`` with the bytes that the ids of :func:`encode` stand for; null ids decode to no bytes."""
-    ranks = read_small_file(df.sparkSession, ranks_path)
-    schema = T.StructType([*df.schema.fields, T.StructField(free_name(df, decoded), T.BinaryType())])
-    names, i, e = schema.names, df.columns.index(ids), df.columns.index(ends)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoder(ranks: bytes, ids: int, ends: int, names: list[str]) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         v = vocabulary(ranks)
         for whole in batches:
-            for batch, _ in _pieces(whole, whole.column(e)):
-                got = [v.decode(a or b"", b or b"") for a, b in zip(batch.column(i).to_pylist(), batch.column(e).to_pylist())]
+            for batch, _ in _pieces(whole, whole.column(ends)):
+                got = [v.decode(a or b"", b or b"") for a, b in zip(batch.column(ids).to_pylist(), batch.column(ends).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=names)
 
-    return df.mapInArrow(run, schema)
+    return run
+
+
+def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", ends: str = "ends") -> DataFrame:
+    """``df`` with packed 32-bit ids of ``text`` and the 64-bit end offset of each token's bytes."""
+    ranks = read_small_file(df.sparkSession, ranks_path)  # fixed size: a vocabulary
+    schema = T.StructType([*df.schema.fields, T.StructField(free_name(df, ids), T.BinaryType()), T.StructField(free_name(df, ends), T.BinaryType())])
+    return df.mapInArrow(_encoder(ranks, df.columns.index(text), schema.names), schema)
+
+
+def decode(df: DataFrame, ranks_path: str, ids: str = "ids", ends: str = "ends", decoded: str = "decoded") -> DataFrame:
+    """``df`` with the bytes that the ids of :func:`encode` stand for; null ids decode to no bytes."""
+    ranks = read_small_file(df.sparkSession, ranks_path)
+    schema = T.StructType([*df.schema.fields, T.StructField(free_name(df, decoded), T.BinaryType())])
+    return df.mapInArrow(_decoder(ranks, df.columns.index(ids), df.columns.index(ends), schema.names), schema)
 
 
 def token_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id with the digests of its ids and of what they decode to."""
-    done = decode(encode(docs.select("doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))), ranks_path).drop("text"), ranks_path)
-    return done.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """doc_id with the digests of its ids and of what they decode to, encoded and decoded in one Python pass."""
+    ranks = read_small_file(docs.sparkSession, ranks_path)
+    names = ["doc_id", "text", "ids", "ends"]
+    encoder, decoder = _encoder(ranks, 1, names), _decoder(ranks, 2, 3, [*names, "decoded"])
+    digest = lambda column: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column])
+
+    def run(batches: Batches) -> Batches:
+        for batch in decoder(encoder(batches)):
+            ids, decoded = batch.column(2), batch.column(4)
+            count = pc.divide(pc.binary_length(ids), 4).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), count, digest(ids), digest(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
