@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quiltgraph.llm import bpe
+from quiltgraph.llm import bpe, topk, warc
 from quiltgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,9 +24,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), default_ranks())
 
 
+def op2_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op5_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe,)}
+    found = (op1_byte_bpe, op2_bit_sliced_top_k, op5_content_addressed_warc)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_bit_sliced_top_k": topk.TOP_SQL, "op5_content_addressed_warc": warc.PAGES_SQL}
