@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltgraph.llm import bpe, topk, warc
-from quiltgraph.llm.common import table
+from quiltgraph.llm import bpe, decontaminate, quality, topk, toxicity, warc
+from quiltgraph.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,12 +28,24 @@ def op2_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out("doc_id", 5, 0))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out("doc_id", 4, 2))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_byte_bpe, op2_bit_sliced_top_k, op5_content_addressed_warc)
+    found = (op1_byte_bpe, op2_bit_sliced_top_k, op3_toxicity, op4_decontamination, op5_content_addressed_warc, op9_quality)
     return {f.__name__: f for f in found}
 
 
