@@ -10,8 +10,8 @@ Of records whose payloads are equal and of ``least_bytes`` or more, that with th
 smallest page_id is the response and the others are revisits that refer to it.
 
 The role of a digest's records is found from (digest, salt) partial minima, so a
-payload that a third of the pages share is spread over ``SALTS`` groups. Only the
-response rows move their payloads.
+payload that a third of the pages share is spread over ``SALTS`` groups. Payloads are
+shuffled once, after each task has dropped its own copies.
 
 Defined results: null html is an empty payload; a null url is an empty target; a
 row with a null page_id is a revisit of the smallest known id, or a response if
@@ -92,11 +92,8 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, date: str =
     first = F.col("response_id").isNull() | F.coalesce(F.col("page_id") == F.col("response_id"), F.lit(False))
     records = tagged.select("*", F.when(first, "response").otherwise("revisit").alias("record_type"), F.when(~first, F.col("response_id")).alias("refers_to"))
     records.select("digest", "salt", _header(date).cast("binary").alias("header")).write.parquet(f"{path}/records")
-    # The first record of a payload holds it. Unshared payloads below least_bytes are all kept by their digest, once.
-    keep = roles.groupBy("digest").agg(F.min("response_id").alias("response_id")).where("response_id is not null").select("digest", F.col("response_id").alias("page_id"))
-    known = rows.select("digest", "page_id", "payload").join(keep, ["digest", "page_id"], "left_semi")
-    small = rows.where((F.col("payload_bytes") < least_bytes) | F.col("page_id").isNull()).select("digest", "page_id", "payload")
-    known.unionByName(small).select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+    # Equal digests have equal payloads, so map-side combining leaves one of a task's copies before the shuffle.
+    rows.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
     return path
 
 
