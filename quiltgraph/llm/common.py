@@ -53,3 +53,44 @@ def free_name(df: DataFrame, wanted: str) -> str:
 def held_out(doc_id: str, folds: int, fold: int):
     """crc32 of the id as text falls in ``fold``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a scratch folder that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def with_group_min(rows: DataFrame, key: str, value: str, out: str, spread: str, salts: int = 64) -> DataFrame:
+    """``rows`` with the least ``value`` of their ``key``; ``spread`` deals a hot key's rows to ``salts`` groups.
+
+    The minimum is found by partial aggregates of (key, salt) and goes back to just the
+    pairs that occur, so no task gets all rows of a key.
+    """
+    salted = rows.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    parts = salted.groupBy(key, "salt_").agg(F.min(value).alias("least_"))
+    whole = parts.groupBy(key).agg(F.min("least_").alias(out), F.collect_list("salt_").alias("salts_"))
+    return salted.join(whole.select(key, out, F.explode("salts_").alias("salt_")), [key, "salt_"], "left").drop("salt_")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for each node of ``edges`` (a, b): root is the least node reachable.
+
+    Alternating large and small stars, each round cut by a checkpoint; the loop ends
+    when a round changes nothing. Only two numbers a round come to the driver.
+    """
+    state = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    before = None
+    while True:
+        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        state = cut(small.where("u <> v").distinct())
+        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
+        if now == before:
+            break
+        before = now
+    roots = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
