@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltgraph.llm import bpe, decontaminate, jaccard, quality, topk, toxicity, warc
+from quiltgraph.llm import bpe, decontaminate, jaccard, quality, repeats, topk, toxicity, warc
 from quiltgraph.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op5_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
 
 
+def op8_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(table(spark, sf_dir, "documents"), least=200)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out("doc_id", 4, 2))
 
@@ -49,7 +53,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_byte_bpe, op2_bit_sliced_top_k, op3_toxicity, op4_decontamination, op5_content_addressed_warc, op9_quality, op10_ngram_jaccard_join)
+    found = (op1_byte_bpe, op2_bit_sliced_top_k, op3_toxicity, op4_decontamination, op5_content_addressed_warc, op8_run_length_dedup, op9_quality, op10_ngram_jaccard_join)
     return {f.__name__: f for f in found}
 
 
