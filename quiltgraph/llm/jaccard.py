@@ -166,13 +166,13 @@ def _classes(counted: DataFrame, bits: int) -> np.ndarray:
 
 
 def _prefix_tokens(docs: DataFrame, width: int, percent: int, classes, hot) -> DataFrame:
-    """(token, node, n) for the prefix of each row's set under the first order."""
-    names = ["token", "node", "n"]
+    """(token, node) for the prefix of each row's set under the first order."""
+    names = ["token", "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, speaker = classes.value, hot.value
         for batch in batches:
-            tokens, nodes, sizes = [], [], []
+            tokens, nodes = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingles(text.as_py(), width)
                 if not len(s):
@@ -183,11 +183,10 @@ def _prefix_tokens(docs: DataFrame, width: int, percent: int, classes, hot) -> D
                 p = prefix(s, table, 0, percent)
                 tokens.append(p.view(np.int64))
                 nodes.append(np.full(len(p), node))
-                sizes.append(np.full(len(p), len(s)))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (tokens, nodes, sizes)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (tokens, nodes)], names=names)
 
-    return docs.mapInArrow(run, "token long, node long, n long")
+    return docs.mapInArrow(run, "token long, node long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, classes) -> DataFrame:
@@ -241,25 +240,29 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     hot = broadcast({r.node: r.speaker for r in copies.where(F.col("c") > max(8, count // HOT_SHARE)).collect()})  # HOT_SHARE nodes at most
     _prefix_tokens(docs.where("doc_id is not null"), width, percent, classes, hot).write.parquet(f"{path}/tokens")
     tokens = spark.read.parquet(f"{path}/tokens")
-    shared = tokens.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.min_by("n", "node").alias("lead_n")).where("lead < last").drop("last")
-    groups = cut(tokens.join(shared, "token"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("lead")).where("times > 1")
+    tokens.join(often.select("token", "lead"), "token").write.parquet(f"{path}/repeated")
     drop_path(spark, f"{path}/tokens")
+    repeated = spark.read.parquet(f"{path}/repeated")
+    shared = repeated.groupBy("token").agg(F.max(F.col("node") != F.col("lead")).alias("several")).where("several").select("token")
+    sizes = rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("speaker"))
+    repeated.join(shared, "token", "left_semi").dropDuplicates(["token", "node"]).write.parquet(f"{path}/groups")
+    groups = spark.read.parquet(f"{path}/groups")
 
     # One text for each node of a group, by the node's least document.
-    wanted = copies.join(groups.select("node").distinct(), "node", "left_semi").select("node", F.col("speaker").alias("doc_id"))
-    chosen = rows.where("n > 0").select("doc_id", "node").distinct().join(wanted, ["doc_id", "node"])
-    _with_node(docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi"), width).join(chosen, ["doc_id", "node"]).dropDuplicates(["node"]).select("node", "text").write.parquet(f"{path}/texts")
+    chosen = sizes.join(groups.select("node").distinct(), "node", "left_semi").select("node", F.col("speaker").alias("doc_id"))
+    _of_node(docs.join(chosen, "doc_id").dropDuplicates(["doc_id", "node", "text"]).select("node", "text"), width).write.parquet(f"{path}/texts")
     texts = spark.read.parquet(f"{path}/texts")
 
-    stars = groups.where(F.col("node") != F.col("lead")).where(similar(percent, "n", "lead_n")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    stars = cut(stars)
+    meet = groups.where(F.col("node") != F.col("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    stars = cut(_of_size(meet, sizes, percent))
     links = cut(_verified(stars, texts, width, percent, classes))
     roots = components(links)
 
     # What is left: groups that still span several components.
-    placed = groups.select("token", "node", "n").distinct().join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = groups.select("token", "node").join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
     open_ = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    mixed = cut(placed.join(open_, "token", "left_semi"))
+    mixed = cut(placed.join(open_, "token", "left_semi").join(sizes.select("node", "n"), "node"))
     other = mixed.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
     across = mixed.join(other, "token").where("root < root_b").where(similar(percent, "n", "m"))
     across = across.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
@@ -275,15 +278,20 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _with_node(docs: DataFrame, width: int) -> DataFrame:
-    """``docs`` (doc_id, text) with the node of each row's set."""
+def _of_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` whose nodes have sizes that could be similar."""
+    known = pairs.join(sizes.select(F.col("node").alias("a"), "n"), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
+    return known.where(similar(percent, "n", "m")).select("a", "b")
+
+
+def _of_node(texts: DataFrame, width: int) -> DataFrame:
+    """``texts`` (node, text) whose set is the node's: an id that repeats may have brought another's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = [node_of(shingles(x.as_py(), width)) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=["doc_id", "text", "node"])
+            yield batch.filter(pa.array([node == node_of(shingles(x.as_py(), width)) for node, x in zip(batch.column(0).to_pylist(), batch.column(1))], pa.bool_()))
 
-    return docs.mapInArrow(run, "doc_id long, text string, node long")
+    return texts.mapInArrow(run, "node long, text string")
 
 
 def brute_force(docs: list[tuple[int, str | None]], width: int, percent: int) -> list[tuple[int, int, int]]:
