@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltgraph.llm import bpe, decontaminate, jaccard, quality, repeats, topk, toxicity, warc
+from quiltgraph.llm import bpe, chat, decontaminate, jaccard, licenses, quality, repeats, topk, toxicity, warc
 from quiltgraph.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,18 @@ def op5_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+#: Parameters of tools: type, and whether they are required.
+TOOLS = {"search": {"query": ("string", True), "limit": ("integer", False)}, "calculate": {"expression": ("string", True)}}
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_messages(table(spark, sf_dir, "conversations"), TOOLS)
+
+
 def op8_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digests(table(spark, sf_dir, "documents"), least=200)
 
@@ -53,9 +65,9 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_byte_bpe, op2_bit_sliced_top_k, op3_toxicity, op4_decontamination, op5_content_addressed_warc, op8_run_length_dedup, op9_quality, op10_ngram_jaccard_join)
+    found = (op1_byte_bpe, op2_bit_sliced_top_k, op3_toxicity, op4_decontamination, op5_content_addressed_warc, op6_license_scan, op7_chat_format, op8_run_length_dedup, op9_quality, op10_ngram_jaccard_join)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_bit_sliced_top_k": topk.TOP_SQL, "op5_content_addressed_warc": warc.PAGES_SQL}
+    return {"op2_bit_sliced_top_k": topk.TOP_SQL, "op5_content_addressed_warc": warc.PAGES_SQL, "op7_chat_format": chat.MESSAGES_SQL}
