@@ -59,9 +59,13 @@ def shingles(text: Column) -> Column:
     return bound(words, hashed)
 
 
+def _seeded(band: int):
+    return lambda s: F.xxhash64(s, F.lit(band))
+
+
 def min_hashes(window: Column) -> Column:
     def each(w: Column) -> Column:
-        return F.array(*(F.array_min(F.transform(w, lambda s, b=b: F.xxhash64(s, F.lit(b)))) for b in range(BANDS)))
+        return F.array(*(F.array_min(F.transform(w, _seeded(b))) for b in range(BANDS)))
 
     return bound(window, each)
 
@@ -73,6 +77,11 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return made.where(F.size("parts") > 0).withColumn("size", F.size("parts"))
 
 
+def _steps(n: Column, size: int) -> Column:
+    """(at, w) of the windows of a size over ``n`` shingles."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size // 2)), lambda a: F.struct(a.alias("at"), F.lit(size).alias("w")))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "text", doc_id: str = "doc_id", least: float = CONTAINED) -> DataFrame:
     """(doc_id, license, containment, first_word, last_word) of every license that a document holds."""
     spark = docs.sparkSession
@@ -83,9 +92,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "te
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), shingles(F.col(text)).alias("s"))
     near = rows.where(F.arrays_overlap("s", parts))
-    steps = F.flatten(F.array(*(
-        F.transform(F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0)), F.lit(w // 2)), lambda a, w=w: F.struct(a.alias("at"), F.lit(w).alias("w"))) for w in sizes
-    )))
+    steps = F.flatten(F.array(*(_steps(F.size("s"), w) for w in sizes)))
     windows = near.select("doc_id", "s", F.explode(steps).alias("x")).select("doc_id", F.col("x.at").alias("at"), F.col("x.w").alias("w"), F.slice("s", F.col("x.at") + 1, F.col("x.w")).alias("window"))
     held = windows.where(F.arrays_overlap("window", parts)).withColumn("hashes", min_hashes(F.col("window")))
 
