@@ -9,11 +9,13 @@ under the first order, and whose sizes agree, are candidates; those whose prefix
 under each of the other orders are disjoint are dropped before verification; the rest are
 verified by exact intersection.
 
-Only links between components matter, so a group of nodes that share a token is not
-expanded: first each meets the group's least node; after their components are
-known, only groups that still span several components are expanded, and there
-only pairs across components that have not been verified. No link between
-different components is lost.
+Only links between components matter, so a group of nodes that share a token is never
+expanded into pairs. First each node meets the least node of its groups, the lead. A lead
+and all that it met are a bundle; any two nodes that share a token are in the bundle of
+that token's lead. Bundles that still span several components are compared in blocks,
+where products of incidence matrices apply the same filters and the exact test to
+all pairs across components at once, and only links that join components come out.
+No link between different components is lost.
 
 Defined results: null and empty texts have an empty set and link with nothing; a
 null doc_id is reported with a null component; repeated rows and rows that share a
@@ -38,6 +40,8 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ORDER_SEEDS = (0x51ED270B, 0x2545F491, 0x9E6C63D0)  # one for each global order
 CHUNK_BITS = 14  # buckets of the sketch that travel together
 MOST_BITS = 24  # of the sketch: 16 MB as classes
+BLOCK = 256  # nodes of a bundle compared with as many others at a time
+COLUMNS = 4096  # of an incidence matrix in memory
 HOT_SHARE = 10_000  # a set with a larger share than 1 / this is emitted by one document only
 
 _BASE = 0x9E3779B97F4A7C15
@@ -220,6 +224,100 @@ def similar(percent: int, n: str, m: str):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _shared(tokens: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two of some sets share: products of incidence matrices, some columns at a time."""
+    m, flat = len(tokens), np.concatenate(tokens)
+    row = np.repeat(np.arange(m), [len(t) for t in tokens])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = times[column] > 1
+    row, column = row[keep], (np.cumsum(times > 1) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((m, m), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((m, COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def block_links(nodes: list[int], roots: list[int], sets: list[np.ndarray], classes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join the roots of a block's similar nodes, each only if it joins something new."""
+    size, root = np.array([len(s) for s in sets]), np.array(roots)
+    low, high = np.minimum.outer(size, size), np.maximum.outer(size, size)
+    maybe = np.triu((root[:, None] != root) & (100 * low >= percent * high), 1)
+    for o in range(len(ORDER_SEEDS)):
+        if not maybe.any():
+            return []
+        maybe &= _shared([prefix(s, classes, o, percent) for s in sets]) > 0
+    if not maybe.any():
+        return []
+    common = _shared(sets).astype(np.int64)
+    maybe &= 100 * common >= percent * (size[:, None] + size - common)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(maybe).tolist():
+        x, y = find(roots[i]), find(roots[j])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((nodes[i], nodes[j]))
+    return out
+
+
+def _across(bundles: DataFrame, texts: DataFrame, width: int, percent: int, classes) -> DataFrame:
+    """Links between components within ``bundles`` (lead, node, root).
+
+    A bundle is cut into blocks of some BLOCK nodes, each meeting each other block once; blocks
+    are cut within a component where that is large, and two blocks of one component don't meet.
+    """
+    sizes = bundles.groupBy("lead").agg(F.count(F.lit(1)).alias("size"))
+    parts = bundles.groupBy("lead", "root").agg(F.count(F.lit(1)).alias("part"))
+    known = bundles.join(parts, ["lead", "root"]).join(sizes, "lead")
+    large = F.col("part") > BLOCK
+    own = F.when(large, F.col("root")).otherwise(F.lit(0).cast("long"))
+    cuts = F.ceil(F.when(large, F.col("part")).otherwise(F.col("size")) / BLOCK)
+    placed = known.select("lead", "node", "root", own.alias("own"), F.pmod(F.xxhash64("node", "lead"), cuts).alias("slot"))
+    blocks = placed.select("lead", "own", "slot").distinct().select("lead", F.struct("own", "slot").alias("block"))
+    others = blocks.select("lead", F.col("block").alias("other"))
+    different = (F.col("block") < F.col("other")) & ((F.col("block.own") != F.col("other.own")) | (F.col("block.own") == 0))
+    alone = (F.col("block") == F.col("other")) & (F.col("block.own") == 0)
+    meetings = blocks.join(others, "lead").where(different | alone)
+    sides = meetings.select("lead", F.explode(F.array_distinct(F.array("block", "other"))).alias("side"), F.xxhash64("block", "other").alias("meeting"))
+    rows = placed.withColumn("side", F.struct("own", "slot")).join(sides, ["lead", "side"]).select("lead", "meeting", "node", "root").join(texts, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, at = classes.value, None
+        nodes: list[int] = []
+        roots: list[int] = []
+        sets: list[np.ndarray] = []
+
+        def done() -> pa.RecordBatch:
+            found = block_links(nodes, roots, sets, table, percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:  # sorted by meeting, so one at a time is in memory
+            for lead, meeting, node, root, text in zip(*(batch.column(c).to_pylist() for c in ("lead", "meeting", "node", "root")), batch.column("text")):
+                if (lead, meeting) != at:
+                    if at is not None:
+                        yield done()
+                    at, nodes, roots, sets = (lead, meeting), [], [], []
+                nodes.append(node)
+                roots.append(root)
+                sets.append(shingles(text.as_py(), width))
+        if at is not None:
+            yield done()
+
+    dealt = rows.select("lead", "meeting", "node", "root", "text").repartition("lead", "meeting").sortWithinPartitions("lead", "meeting", "node")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -259,14 +357,11 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     links = cut(_verified(stars, texts, width, percent, classes))
     roots = components(links)
 
-    # What is left: groups that still span several components.
-    placed = groups.select("token", "node").join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
-    open_ = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    mixed = cut(placed.join(open_, "token", "left_semi").join(sizes.select("node", "n"), "node"))
-    other = mixed.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
-    across = mixed.join(other, "token").where("root < root_b").where(similar(percent, "n", "m"))
-    across = across.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut(_verified(across, texts, width, percent, classes))
+    # What is left: bundles (a lead and all that it met) that still span several components.
+    leads = meet.select("a").distinct().select("a", F.col("a").alias("b"))
+    bundles = meet.unionByName(leads).select(F.col("a").alias("lead"), F.col("b").alias("node")).join(roots, "node", "left").select("lead", "node", F.coalesce("root", "node").alias("root"))
+    open_ = bundles.groupBy("lead").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("lead")
+    more = cut(_across(bundles.join(open_, "lead", "left_semi"), texts, width, percent, classes))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     drop_path(spark, path)
