@@ -388,6 +388,22 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", ends: str = "ends",
     return df.mapInArrow(_decoder(ranks, df.columns.index(ids), df.columns.index(ends), schema.names), schema)
 
 
+def encode_checked(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", check: str = "round_trip") -> DataFrame:
+    """``df`` with packed ids of ``text`` and whether they decode to its bytes, in one Python pass."""
+    ranks = read_small_file(df.sparkSession, ranks_path)
+    schema = T.StructType([*df.schema.fields, T.StructField(free_name(df, ids), T.BinaryType()), T.StructField(free_name(df, check), T.BooleanType())])
+    at, kept = df.columns.index(text), len(df.columns)
+    inner = [*df.columns, "ids", "ends"]
+    encoder, decoder = _encoder(ranks, at, inner), _decoder(ranks, kept, kept + 1, [*inner, "decoded"])
+
+    def run(batches: Batches) -> Batches:
+        for batch in decoder(encoder(batches)):
+            same = pc.equal(batch.column(kept + 2), pc.fill_null(batch.column(at), "").cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: kept + 1], same], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def token_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id with the digests of its ids and of what they decode to, encoded and decoded in one Python pass."""
     ranks = read_small_file(docs.sparkSession, ranks_path)
