@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltgraph.errors import QueryError
+from quiltgraph.functions.temporal import let
+from quiltgraph.functions.types import all_of
 from quiltgraph.sources.catalog import Graph
 
 K1, B = 1.2, 0.75
@@ -68,10 +70,29 @@ def search(graph: Graph, label: str, prop: str, query: str) -> DataFrame:
         raise QueryError("ProcedureError", "IndexNotFound", f"no text property {prop} of :{label}", "Runtime")
     text = F.concat_ws(" ", *props)
     words = F.filter(F.split(F.lower(text), TOKENS), lambda w: w != "")
-    docs = df.where(F.coalesce(*props).isNotNull()).select("_id", words.alias("words")).withColumn("length", F.size("words"))
     tree = parse_query(query)
     leaves: list[tuple] = []
 
+    def hits(t, w):
+        """How often a leaf occurs among the words ``w``."""
+        if t[0] == "prefix":
+            return F.size(F.filter(w, lambda x: x.startswith(t[1])))
+        n = len(t[1])
+        if n == 1:
+            return F.size(F.filter(w, lambda x: x == t[1][0]))
+        at = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+        same = lambda i: all_of(*(F.get(w, i + k) == t[1][k] for k in range(n)))
+        return F.size(F.filter(at, same))
+
+    def collect(t):
+        if t[0] in ("and", "or", "not"):
+            collect(t[1])
+            collect(t[2])
+        elif t not in leaves:
+            leaves.append(t)
+
+    collect(tree)
+
     def test(t):
         if t[0] == "and":
             return test(t[1]) & test(t[2])
@@ -79,27 +100,17 @@ def search(graph: Graph, label: str, prop: str, query: str) -> DataFrame:
             return test(t[1]) | test(t[2])
         if t[0] == "not":
             return test(t[1]) & ~test(t[2])
-        if t not in leaves:
-            leaves.append(t)
-        return count_of(t) > 0
-
-    def count_of(t):
-        if t[0] == "prefix":
-            return F.size(F.filter("words", lambda w: w.startswith(t[1])))
-        phrase = F.array(*(F.lit(w) for w in t[1]))
-        n = len(t[1])
-        if n == 1:
-            return F.size(F.filter("words", lambda w: w == t[1][0]))
-        at = F.when(F.col("length") >= n, F.sequence(F.lit(1), F.col("length") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.size(F.filter(at, lambda i: F.slice("words", i, n) == phrase))
-
-    wanted = test(tree)
-    positive = [t for t in leaves if not _only_negated(tree, t)]
-    counted = docs.select("_id", "length", wanted.alias("hit"), *(count_of(t).alias(f"tf{k}") for k, t in enumerate(positive)))
-    totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(positive))))
+        return F.col(f"m.tf{leaves.index(t)}") > 0
+
+    # The words are split once for each node, however many leaves count in them.
+    measure = lambda w: F.struct(F.size(w).alias("length"), *(hits(t, w).alias(f"tf{k}") for k, t in enumerate(leaves)))
+    docs = df.where(F.coalesce(*props).isNotNull()).select("_id", let([words], measure).alias("m"))
+    positive = [k for k, t in enumerate(leaves) if not _only_negated(tree, t)]
+    counted = docs.select("_id", F.col("m.length").alias("length"), test(tree).alias("hit"), *(F.col(f"m.tf{k}").alias(f"tf{k}") for k in positive))
+    totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in positive))
     rows = counted.where("hit").crossJoin(F.broadcast(totals))  # one row of totals
     score = F.lit(0.0)
-    for k in range(len(positive)):
+    for k in positive:
         tf, df_ = F.col(f"tf{k}"), F.col(f"df{k}")
         idf = F.greatest(F.ln((F.col("n") - df_ + 0.5) / (df_ + 0.5)), F.lit(1e-6))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))

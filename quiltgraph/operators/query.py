@@ -33,6 +33,17 @@ def names_in(e) -> set[str]:
     return out
 
 
+def conjuncts(e) -> list[tuple]:
+    return conjuncts(e[2]) + conjuncts(e[3]) if e[0] == "bin" and e[1] == "AND" else [e]
+
+
+def joined_by_and(parts: list[tuple]):
+    out = None
+    for p in parts:
+        out = p if out is None else ("bin", "AND", out, p)
+    return out
+
+
 def properties_read(clauses) -> dict[str, set | None]:
     """What the query reads of each variable: property names, or None for all of it."""
     used: dict[str, set | None] = {}
@@ -58,11 +69,17 @@ def properties_read(clauses) -> dict[str, set | None]:
             add(e[1][1], e[2])
         elif kind == "labels" and e[1][0] == "var":
             add(e[1][1], "_labels")
-        elif kind == "call" and e[1].lower() in ("id", "type", "labels", "length", "size", "count", "exists", "score") and len(e[2]) == 1 and e[2][0][0] == "var":
+        elif kind == "call" and e[1].lower() in ("id", "type", "labels", "length", "size", "count", "exists", "score") and len(e[2]) == 1 and e[2][0][0] == "var" and not (len(e) > 3 and e[3]):
             if e[1].lower() == "labels":
                 add(e[2][0][1], "_labels")
             if e[1].lower() == "score":
                 add(e[2][0][1], "__score")
+        elif kind == "call" and len(e) == 5:  # the clause
+            visit(e[2])
+            visit(e[4])
+        elif kind == "map":
+            for _, x in e[1]:
+                visit(x)
         elif kind == "cmp" and all(o in ("=", "<>") for o, _ in e[2]):
             for x in (e[1], *(y for _, y in e[2])):
                 if x[0] != "var":
@@ -177,6 +194,13 @@ class Query:
         if has_aggregate(where):
             raise semantic("InvalidAggregation", "an aggregate in WHERE")
         if not optional:
+            plain = [p for p in patterns if not p[2]]
+            if where is not None and plain and len(plain) < len(patterns):  # conditions on the ends come before the search
+                known = names_in(tuple(plain)) | set(self.scope)
+                early = [c for c in conjuncts(where) if names_in(c) <= known]
+                late = [c for c in conjuncts(where) if names_in(c) - known]
+                self.df, self.scope = self.matched(self.df, self.scope, plain, joined_by_and(early))
+                patterns, where = [p for p in patterns if p[2]], joined_by_and(late)
             self.df, self.scope = self.matched(self.df, self.scope, patterns, where)
             return
         self.trace.append("LeftOuterJoin")
@@ -334,7 +358,8 @@ class Query:
         out = []
         for n in self.order_of_names:
             b = self.scope[n]
-            out.append((b.typed() if isinstance(b, Value) else b.struct()).col.alias(n))
+            x = b.typed() if isinstance(b, Value) else b.struct()
+            out.append((x.col.cast("string") if x.t == "null" else x.col).alias(n))
         self.df = self.df.select(*out)
 
     def project(self, distinct, star, items, order, skip, limit, where) -> None:
@@ -441,6 +466,9 @@ class Query:
                 x = scalar.aggregate("count", None, False, None, [])
             else:
                 arg = evaluate.identity(a[2][0]) if a[1].lower() == "count" else None
+                path = self.scope.get(a[2][0][1]) if a[2][0][0] == "var" else None
+                if a[1].lower() == "count" and not a[3] and isinstance(path, Path):
+                    arg = Typed(F.col(path.length), "int")
                 x0 = Typed(arg.col, "int") if arg else evaluate(a[2][0])
                 if isinstance(x0.t, tuple) and x0.t[0] == "null" or x0.t == "null":
                     x0 = Typed(x0.col.cast("bigint"), "int")
