@@ -78,7 +78,7 @@ def fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
     for text in texts:
         found = [features(x) for x in pieces(text)]
         ids, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
-        bags.append((ids.astype(np.int64), (n / max(1, n.sum())).astype(np.float32)))
+        bags.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     steps, done = EPOCHS * len(texts), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(texts)):
@@ -112,7 +112,7 @@ class Scorer:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def train(docs: DataFrame, labels: DataFrame, is_train: Column, label: str = "quality", per_class: int = 1500) -> tuple[bytes, float]:
+def train(docs: DataFrame, labels: DataFrame, is_train: Column, label: str = "quality", per_class: int = 1000) -> tuple[bytes, float]:
     """The model: packed numbers of the buckets (empty: none) and the intercept."""
     sample, shares = labelled_sample(docs, labels, label, is_train, per_class)
 

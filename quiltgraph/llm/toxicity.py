@@ -34,6 +34,7 @@ RATE = 0.05
 PENALTY = 1e-4
 LEAST = 3  # sampled texts that must have a feature
 CHUNK = 1 << 20  # bytes hashed at a time
+PART = 1 << 19  # features read at a time when fitting
 
 
 def hashed(data: np.ndarray) -> Iterator[np.ndarray]:
@@ -91,28 +92,45 @@ class Scorer:
 
 
 def fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
-    """(weight of each bucket, intercept)."""
-    sets = [features(t) for t in texts]
-    size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets).astype(np.int64) if len(sets) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(sets)), size)
-    one, n = 1 << BITS, len(sets)
-    has = np.bincount(flat, minlength=one)
-    p = 1.0 + np.bincount(flat[y[row] == 1], minlength=one)
-    q = 1.0 + np.bincount(flat[y[row] == 0], minlength=one)
+    """(weight of each bucket, intercept). Features are kept as 32-bit numbers, and read PART at a time."""
+    n, one = len(texts), 1 << BITS
+    p, q, has = np.ones(one), np.ones(one), np.zeros(one, np.int32)
+    rows = []
+    for text, label in zip(texts, y):
+        f = features(text).astype(np.int32)
+        (p if label == 1 else q)[f] += 1
+        has[f] += 1
+        rows.append(f)
     r = np.log(p / p.sum()) - np.log(q / q.sum())
     r[has < min(LEAST, max(1, n // 4))] = 0.0
-    keep = r[flat] != 0
-    flat, row = flat[keep], row[keep]
-    name, column = np.unique(flat, return_inverse=True)
+    name = np.flatnonzero(r)
+    place = np.zeros(one, np.int32)
+    place[name] = np.arange(len(name), dtype=np.int32)
+    rows = [place[f[r[f] != 0]] for f in rows]
+    full = np.array([i for i, f in enumerate(rows) if len(f)], np.int64)
+    size = np.array([len(rows[i]) for i in full], np.int64)
+    column = np.concatenate([rows[i] for i in full]) if len(full) else np.zeros(0, np.int32)
+    del rows
+    ends = np.cumsum(size)
+    parts, at = [], 0  # (first row, end row, first feature, end feature)
+    while at < len(full):
+        low = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, low + PART, "right")))
+        parts.append((at, to, low, int(ends[to - 1])))
+        at = to
     scaled, k = r[name], len(name)
-    value = scaled[column]
     w, b = np.zeros(k), 0.0
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for t in range(1, STEPS + 1):  # Adam on the whole sample
-        z = np.bincount(row, weights=value * w[column], minlength=n) + b
+        z = np.full(n, b)
+        weight = scaled * w
+        for i, j, low, high in parts:
+            z[full[i:j]] += np.add.reduceat(weight[column[low:high]], ends[i:j] - size[i:j] - low)
         error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-        g = np.bincount(column, weights=value * error[row], minlength=k) / n + PENALTY * w
+        g = np.zeros(k)
+        for i, j, low, high in parts:
+            g += np.bincount(column[low:high], weights=np.repeat(error[full[i:j]], size[i:j]), minlength=k)
+        g = g * scaled / n + PENALTY * w
         gb = error.mean()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -124,7 +142,7 @@ def fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
     return weights, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, is_train: Column, label: str = "toxic", per_class: int = 1500) -> tuple[bytes, float]:
+def train(docs: DataFrame, labels: DataFrame, is_train: Column, label: str = "toxic", per_class: int = 1000) -> tuple[bytes, float]:
     """The model: packed weights (empty: none) and the intercept."""
     sample, shares = labelled_sample(docs, labels, label, is_train, per_class)
 
