@@ -60,7 +60,7 @@ class BitSlicedIndex:
                 self.of.append(d)
                 self.weight.append(bit)
         self.of, self.weight = np.array(self.of, np.int64), np.array(self.weight, np.int64)
-        plain = np.array(planes).reshape(len(planes), self.words)
+        plain = np.array(planes, np.uint64).reshape(len(planes), self.words)
         self.planes = np.concatenate([plain, ~plain & self.rows])  # the second half complemented
 
     def _pack(self, bits: np.ndarray) -> np.ndarray:
@@ -169,12 +169,14 @@ def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, vec_id
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 if last != r.block:
-                    last, index = r.block, BitSlicedIndex(np.frombuffer(r.block_ids, np.int64), np.frombuffer(r.block_values, np.int32).reshape(-1, r.block_dims))
-                asks, dims = np.frombuffer(r.ask_values, np.int32).reshape(-1, r.ask_dims), r.block_dims
+                    ids = np.frombuffer(r.block_ids, np.int64)
+                    last, index = r.block, BitSlicedIndex(ids, np.frombuffer(r.block_values, np.int32).reshape(len(ids), r.block_dims))
+                ask_ids, dims = np.frombuffer(r.ask_ids, np.int64), r.block_dims
+                asks = np.frombuffer(r.ask_values, np.int32).reshape(len(ask_ids), r.ask_dims)
                 out = []
-                for q, values in zip(np.frombuffer(r.ask_ids, np.int64).tolist(), asks):
+                for q, values in zip(ask_ids.tolist(), asks):
                     query = np.zeros(dims, np.int64)
-                    query[: len(values)] = values[:dims]
+                    query[: len(values)] = values[:dims]  # columns that no row has add nothing
                     ids, scores = index.top(query, q, k)
                     out.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": scores}))
                 yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
