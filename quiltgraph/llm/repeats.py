@@ -263,7 +263,8 @@ def repeated_spans(docs: DataFrame, least: int = 200) -> tuple[DataFrame, DataFr
     path = scratch_path(spark, "repeats")
     _segment_rows(docs, least).write.parquet(f"{path}/segments")
     every = spark.read.parquet(f"{path}/segments")
-    often = every.groupBy("minimizer").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("minimizer")
+    # Cut, so that the join has a plain shuffle on either side, which Spark splits where a minimizer is very common.
+    often = cut(every.groupBy("minimizer").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("minimizer"))
     shared = cut(every.join(often, "minimizer"))
     drop_path(spark, f"{path}/segments")
 
