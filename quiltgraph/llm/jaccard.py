@@ -277,19 +277,20 @@ def _across(bundles: DataFrame, texts: DataFrame, width: int, percent: int, clas
     A bundle is cut into blocks of some BLOCK nodes, each meeting each other block once; blocks
     are cut within a component where that is large, and two blocks of one component don't meet.
     """
-    sizes = bundles.groupBy("lead").agg(F.count(F.lit(1)).alias("size"))
-    parts = bundles.groupBy("lead", "root").agg(F.count(F.lit(1)).alias("part"))
+    bundles = cut(bundles)
+    sizes = cut(bundles.groupBy("lead").agg(F.count(F.lit(1)).alias("size")))
+    parts = cut(bundles.groupBy("lead", "root").agg(F.count(F.lit(1)).alias("part")))
     known = bundles.join(parts, ["lead", "root"]).join(sizes, "lead")
     large = F.col("part") > BLOCK
     own = F.when(large, F.col("root")).otherwise(F.lit(0).cast("long"))
     cuts = F.ceil(F.when(large, F.col("part")).otherwise(F.col("size")) / BLOCK)
-    placed = known.select("lead", "node", "root", own.alias("own"), F.pmod(F.xxhash64("node", "lead"), cuts).alias("slot"))
+    placed = cut(known.select("lead", "node", "root", own.alias("own"), F.pmod(F.xxhash64("node", "lead"), cuts).alias("slot")))
     blocks = placed.select("lead", "own", "slot").distinct().select("lead", F.struct("own", "slot").alias("block"))
     others = blocks.select("lead", F.col("block").alias("other"))
     different = (F.col("block") < F.col("other")) & ((F.col("block.own") != F.col("other.own")) | (F.col("block.own") == 0))
     alone = (F.col("block") == F.col("other")) & (F.col("block.own") == 0)
     meetings = blocks.join(others, "lead").where(different | alone)
-    sides = meetings.select("lead", F.explode(F.array_distinct(F.array("block", "other"))).alias("side"), F.xxhash64("block", "other").alias("meeting"))
+    sides = cut(meetings.select("lead", F.explode(F.array_distinct(F.array("block", "other"))).alias("side"), F.xxhash64("block", "other").alias("meeting")))
     rows = placed.withColumn("side", F.struct("own", "slot")).join(sides, ["lead", "side"]).select("lead", "meeting", "node", "root").join(texts, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,11 +339,12 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     hot = broadcast({r.node: r.speaker for r in copies.where(F.col("c") > max(8, count // HOT_SHARE)).collect()})  # HOT_SHARE nodes at most
     _prefix_tokens(docs.where("doc_id is not null"), width, percent, classes, hot).write.parquet(f"{path}/tokens")
     tokens = spark.read.parquet(f"{path}/tokens")
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("lead")).where("times > 1")
-    tokens.join(often.select("token", "lead"), "token").write.parquet(f"{path}/repeated")
+    # Aggregates are cut before they are joined: a join of two plain shuffles is split where a key is very common.
+    often = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("lead")).where("times > 1").select("token", "lead"))
+    tokens.join(often, "token").write.parquet(f"{path}/repeated")
     drop_path(spark, f"{path}/tokens")
     repeated = spark.read.parquet(f"{path}/repeated")
-    shared = repeated.groupBy("token").agg(F.max(F.col("node") != F.col("lead")).alias("several")).where("several").select("token")
+    shared = cut(repeated.groupBy("token").agg(F.max(F.col("node") != F.col("lead")).alias("several")).where("several").select("token"))
     sizes = rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("speaker"))
     repeated.join(shared, "token", "left_semi").dropDuplicates(["token", "node"]).write.parquet(f"{path}/groups")
     groups = spark.read.parquet(f"{path}/groups")
@@ -360,7 +362,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # What is left: bundles (a lead and all that it met) that still span several components.
     leads = meet.select("a").distinct().select("a", F.col("a").alias("b"))
     bundles = meet.unionByName(leads).select(F.col("a").alias("lead"), F.col("b").alias("node")).join(roots, "node", "left").select("lead", "node", F.coalesce("root", "node").alias("root"))
-    open_ = bundles.groupBy("lead").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("lead")
+    open_ = cut(bundles.groupBy("lead").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("lead"))
     more = cut(_across(bundles.join(open_, "lead", "left_semi"), texts, width, percent, classes))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
