@@ -218,7 +218,8 @@ class Matcher:
         hint, full = name or "r", self.keep_rels or bool(name) and self.used.get(name, set()) is None
         edges, rel, near, far, tables = self.edges(element, frozenset(), frozenset(), None if full else set(), hint)
         if name and isinstance(old := self.scope.get(name), Value):
-            raise semantic("VariableAlreadyBound", f"{name}: a bound list of relationships can't be matched again, {old.type}")
+            self.walk_bound(here, old, direction, there, there_element)
+            return
         ids, end, rels, nodes = fresh(f"{hint}_ids"), fresh(f"{hint}_end"), fresh(f"{hint}_rels"), fresh(f"{hint}_nodes")
         rel_kinds = tuple(sorted(self.graph.merged_types(self.graph.edges).items()))
         node_kinds = tuple(sorted(self.graph.merged_types(self.graph.nodes).items()))
@@ -272,6 +273,22 @@ class Matcher:
         else:
             self.attach_node(there_element, there, end, None if tables is None or low == 0 else tables)
 
+    def walk_bound(self, here: str, rels: Value, direction: str, there: str, there_element) -> None:
+        """A list of relationships that is bound already: the rows where it leads on from ``here``."""
+        if not (isinstance(rels.type, tuple) and rels.type[0] == "list" and isinstance(rels.type[1], tuple) and rels.type[1][0] == "rel"):
+            raise semantic("VariableTypeConflict", "a list of relationships is needed")
+        forward = lambda at, e: F.when(at == e["_src"], e["_dst"])
+        back = lambda at, e: F.when(at == e["_dst"], e["_src"])
+        step = {"out": forward, "in": back, "both": lambda at, e: F.coalesce(forward(at, e), back(at, e))}[direction]
+        end = fresh("end")
+        self.df = self.df.withColumn(end, F.aggregate(rels.column, F.col(self.bound(here).id), step)).where(F.col(end).isNotNull())
+        self.last_many = (rels.column, rels.column, None)
+        if self.has(there):
+            self.where(F.col(self.bound(there).id) == F.col(end))
+            self.check_node(there_element, there)
+        else:
+            self.attach_node(there_element, there, end, None)
+
     # Paths.
     keep_nodes = keep_rels = False
 

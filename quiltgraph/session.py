@@ -57,6 +57,48 @@ class GraphSession:
     def begin(self, write: bool = True) -> Transaction:
         return Transaction(self, write)
 
+    # Indexes and batches, as calls.
+    def create_index(self, label: str, *props: str, kind: str = "btree") -> None:
+        """Records an index; kinds are btree, fulltext, fulltext_ci and fulltext_word. Plans don't depend on it."""
+        if kind not in ("btree", "fulltext", "fulltext_ci", "fulltext_word"):
+            raise QueryError("ArgumentError", "InvalidArgumentValue", f"no kind of index {kind}", "Runtime")
+        if (label, props, kind) in self.graph.indexes:
+            raise QueryError("ConstraintViolation", "IndexAlreadyExists", f"an index on :{label}{props} exists", "Runtime")
+        self.graph.indexes = [*self.graph.indexes, (label, props, kind)]
+
+    def drop_index(self, label: str, *props: str, kind: str = "btree") -> None:
+        if (label, props, kind) not in self.graph.indexes:
+            raise QueryError("EntityNotFound", "IndexNotFound", f"no index on :{label}{props}", "Runtime")
+        self.graph.indexes = [i for i in self.graph.indexes if i != (label, props, kind)]
+
+    def create_nodes(self, labels: list[str], df: DataFrame) -> DataFrame:
+        """Adds a node for each row, its columns as properties; returns the rows with their ``_id``."""
+        from quiltgraph.functions.types import from_spark, widened
+        from quiltgraph.operators.writes import CREATED, numbered
+        from quiltgraph.sources.catalog import SLOTS, NodeTable
+
+        graph, kinds = self.graph.copy(), {f.name: f.dataType for f in df.schema.fields}
+        rows, total = numbered(df.select(*(widened(F.col(c), k).alias(c) for c, k in kinds.items())), "_row")
+        made = rows.select(((F.lit(graph.next_id) + F.col("_row")) * SLOTS + CREATED).alias("_id"), F.array(*(F.lit(x) for x in sorted(labels))).cast("array<string>").alias("_labels"), *kinds)
+        graph.next_id += total
+        name = f"batch{len(graph.nodes)}"
+        graph.nodes.append(NodeTable(name, made, frozenset(labels), frozenset(labels), {c: from_spark(k) for c, k in kinds.items()}))
+        self.graph = graph
+        return made.drop("_labels")
+
+    def create_edges(self, type_: str, df: DataFrame, src: str = "_src", dst: str = "_dst") -> None:
+        """Adds an edge for each row between node ids; its other columns are properties."""
+        from quiltgraph.functions.types import from_spark, widened
+        from quiltgraph.operators.writes import CREATED, numbered
+        from quiltgraph.sources.catalog import SLOTS, EdgeTable
+
+        graph, kinds = self.graph.copy(), {f.name: f.dataType for f in df.schema.fields if f.name not in (src, dst)}
+        rows, total = numbered(df.select(F.col(src).cast("bigint").alias("_src"), F.col(dst).cast("bigint").alias("_dst"), *(widened(F.col(c), k).alias(c) for c, k in kinds.items())), "_row")
+        made = rows.select(((F.lit(graph.next_id) + F.col("_row")) * SLOTS + CREATED).alias("_id"), "_src", "_dst", *kinds)
+        graph.next_id += total
+        graph.edges.append(EdgeTable(type_, made, None, None, {c: from_spark(k) for c, k in kinds.items()}))
+        self.graph = graph
+
     # Typed reads.
     def find_nodes(self, label: str) -> DataFrame:
         return self.graph.scan([label])[0]
@@ -64,6 +106,9 @@ class GraphSession:
     def get_node(self, node_id: int) -> DataFrame:
         return self.graph.scan()[0].where(F.col("_id") == node_id)
 
+    def get_edge(self, edge_id: int) -> DataFrame:
+        return self.graph.edge_scan(self.graph.edges)[0].where(F.col("_id") == edge_id)
+
     def neighbors(self, node_id: int, type_: str | None = None, direction: str = "out") -> DataFrame:
         """(neighbor, edge) ids, a row for each edge; a loop counts once when undirected."""
         edges = self.graph.edge_scan([t for t in self.graph.edges if type_ in (None, t.type)])[0]
