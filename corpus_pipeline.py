@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiltgraph import ship
 from quiltgraph.llm import bpe, decontaminate, jaccard, repeats, toxicity
 from quiltgraph.llm.common import scratch_path, table
 from quiltgraph.llm.queries import default_ranks
@@ -58,12 +59,22 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "lang", "source", F.expr("cast(coalesce(octet_length(ids), 0) div 4 as bigint)").alias("n_tokens"), "ids", "round_trip")
 
 
+def _shipped(stage):
+    """``stage`` in a session whose Python workers can import the package."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("ngram_jaccard_join", drop_near_duplicates),
-    ("suffix_array_dedup", drop_repeats),
-    ("benchmark_decontamination", drop_contaminated),
-    ("byte_level_bpe", tokenise),
+    ("toxicity", _shipped(drop_toxic)),
+    ("ngram_jaccard_join", _shipped(drop_near_duplicates)),
+    ("suffix_array_dedup", _shipped(drop_repeats)),
+    ("benchmark_decontamination", _shipped(drop_contaminated)),
+    ("byte_level_bpe", _shipped(tokenise)),
 ]
 
 #: Learned scores, 64-bit hashes and byte-pair merges have no SQL; tests compare with brute force.

@@ -73,14 +73,15 @@ class Scorer:
         self.seen = np.zeros(1 << BITS, bool)
 
     def score(self, text: str) -> float:
-        if len(text) > CHUNK:
+        parts = list(chunks(text)) if text else []
+        if len(parts) > 1:
             self.seen[:] = False
-            for part in chunks(text):
+            for part in parts:
                 for h in hashed(part):
                     self.seen[h] = True
             total = float(self.weights[self.seen].sum())
         else:
-            found = list(hashed(next(chunks(text)))) if text else []
+            found = [h for part in parts for h in hashed(part)]
             total = 0.0
             if found:
                 h = np.concatenate(found)

@@ -291,3 +291,10 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 103: 100}
+
+
+def test_toxicity_reads_wide_characters_to_the_end():
+    weights = np.zeros(1 << toxicity.BITS, np.float32)
+    weights[toxicity.features("zqxjk")] = 1.0
+    long_ = "é" * (toxicity.CHUNK * 3 // 4) + " zqxjk"
+    assert toxicity.Scorer(weights, 0.0).score(long_) > 0.9
