@@ -48,7 +48,7 @@ ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 
 WINDOW = 1 << 19  # code points scanned at a time
 COLUMN = 256  # length of a block in the scan
-CACHE = 1 << 17  # slices in each of a worker's two generations
+CACHE = 1 << 16  # slices in each of a worker's two generations
 CACHED_LENGTH = 48
 SHORT = 64  # bytes of a slice that is merged by plain lists
 
@@ -359,6 +359,7 @@ def _encoder(ranks: bytes, at: int, names: list[str]) -> Callable[[Batches], Bat
             for batch, column in _pieces(whole, whole.column(at)):
                 got = v.encode_all([x or "" for x in column.to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary()), pa.array([v.ends(x) for x in got], pa.binary())], names=names)
+        v.cache, v.older = {}, {}  # an idle worker keeps the vocabulary only
 
     return run
 
