@@ -326,9 +326,12 @@ class Matcher:
             self.scan_node(nodes[start], names[start])
         segments: dict[int, object] = {}
         turned = {"out": "in", "in": "out", "both": "both"}
-        for k in [*range(start, len(nodes) - 1), *range(start - 1, -1, -1)]:
+        todo = set(range(len(nodes) - 1))
+        while todo:
+            k = self.next_segment(todo, elements, names)
+            todo.remove(k)
             rel = elements[2 * k + 1]
-            a, b = (k, k + 1) if k >= start else (k + 1, k)
+            a, b = (k, k + 1) if self.has(names[k]) else (k + 1, k)
             if a > b:
                 rel = (*rel[:3], turned[rel[3]], *rel[4:])
             known = self.has(names[b])
@@ -343,6 +346,28 @@ class Matcher:
             self.bind_path(path_name, names, segments, mode is None)
         self.keep_nodes = self.keep_rels = False
 
+    def next_segment(self, todo: set[int], elements, names: list[str]) -> int:
+        """Of the relationships at bound nodes: one that closes a cycle, else the one that multiplies rows least."""
+        near = [k for k in sorted(todo) if self.has(names[k]) or self.has(names[k + 1])]
+        closing = [k for k in near if self.has(names[k]) and self.has(names[k + 1])]
+        if closing or len(near) == 1:
+            return (closing or near)[0]
+        return min(near, key=lambda k: (self.fan_out(k, elements, names), k))
+
+    def fan_out(self, k: int, elements, names: list[str]) -> float:
+        """Edges per node at the bound end, from the tables' row counts."""
+        _, _, types, direction, low, high, _ = elements[2 * k + 1]
+        left, right = self.labels_of(names[k], elements[2 * k]), self.labels_of(names[k + 1], elements[2 * k + 2])
+        tables = self.edge_tables(types, direction, left, right)
+        from_left = self.has(names[k])
+        out = 0.0
+        for t in tables:
+            ends = {"out": [t.src if from_left else t.dst], "in": [t.dst if from_left else t.src], "both": [t.src, t.dst]}[direction]
+            for end in ends:
+                nodes = self.graph.rows_of(self.graph.table(end)) if end else sum(self.graph.rows_of(n) for n in self.graph.nodes)
+                out += self.graph.rows_of(t) / max(1, nodes)
+        return out if low is None else max(out, 1.0) ** min(high, 3)
+
     def bind_path(self, name: str, names: list[str], segments: dict, full: bool) -> None:
         if name in self.scope:
             raise semantic("VariableAlreadyBound", f"{name} is bound already")

@@ -49,12 +49,20 @@ class Graph:
     edges: list[EdgeTable] = field(default_factory=list)
     indexes: list[tuple[str, tuple, str]] = field(default_factory=list)
     next_id: int = 0
+    counts: dict[int, tuple] = field(default_factory=dict)
 
     def copy(self) -> Graph:
         out = copy.copy(self)
         out.nodes, out.edges, out.indexes = list(self.nodes), list(self.edges), list(self.indexes)
         return out
 
+    def rows_of(self, table) -> int:
+        """A table's row count, found once; of Parquet, from its footers."""
+        key = id(table.df)
+        if key not in self.counts:
+            self.counts[key] = (table.df, table.df.count())
+        return self.counts[key][1]
+
     def table(self, name: str) -> NodeTable:
         found = [t for t in self.nodes if t.name == name]
         if not found:
