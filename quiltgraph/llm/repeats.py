@@ -282,7 +282,9 @@ def repeated_spans(docs: DataFrame, least: int = 200) -> tuple[DataFrame, DataFr
     runs = cut(_indexed(pieces.where(F.col("size") <= MOST), least).unionByName(_counted(pieces.where(F.col("size") > MOST), least)))
 
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("windows") - 1).cast("int").alias("last")))
-    known = places.join(contents.select("minimizer", "content", "copies"), ["minimizer", "content"]).join(runs, ["minimizer", "content"], "left")
+    # One join of two plain shuffles again: a content with very many copies is split.
+    verdicts = cut(contents.select("minimizer", "content", "copies").join(runs, ["minimizer", "content"], "left"))
+    known = places.join(verdicts, ["minimizer", "content"])
     span = lambda r: F.struct((F.col("start") + r["first"]).alias("start"), (F.col("start") + r["last"] + least).alias("end"))
     found = known.select("rid", F.explode(F.transform(F.when(F.col("copies") > 1, whole).otherwise(F.col("runs")), span)).alias("span"))
     return found.groupBy("rid").agg(F.collect_list("span").alias("spans")), texts, path
