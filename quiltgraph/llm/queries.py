@@ -70,4 +70,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_bit_sliced_top_k": topk.TOP_SQL, "op5_content_addressed_warc": warc.PAGES_SQL, "op7_chat_format": chat.MESSAGES_SQL}
+    return {"op2_bit_sliced_top_k": topk.TOP_SQL, "op4_decontamination": decontaminate.CONTAMINATION_SQL, "op5_content_addressed_warc": warc.PAGES_SQL, "op7_chat_format": chat.MESSAGES_SQL, "op10_ngram_jaccard_join": jaccard.LINK_SQL}
