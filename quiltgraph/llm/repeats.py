@@ -257,6 +257,12 @@ def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumn(free_name(docs, "rid"), rid)
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` read back from a compressed table of the shared folder."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def repeated_spans(docs: DataFrame, least: int = 200) -> tuple[DataFrame, DataFrame, str]:
     """For ``docs`` (rid, text): (rid, spans [start, end) with repeated bytes, unmerged), the texts of those rids, and a scratch folder."""
     spark = docs.sparkSession
@@ -264,13 +270,13 @@ def repeated_spans(docs: DataFrame, least: int = 200) -> tuple[DataFrame, DataFr
     _segment_rows(docs, least).write.parquet(f"{path}/segments")
     every = spark.read.parquet(f"{path}/segments")
     # Cut, so that the join has a plain shuffle on either side, which Spark splits where a minimizer is very common.
-    often = cut(every.groupBy("minimizer").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("minimizer"))
-    shared = cut(every.join(often, "minimizer"))
+    often = _stored(every.groupBy("minimizer").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("minimizer"), f"{path}/often")
+    shared = _stored(every.join(often, "minimizer"), f"{path}/shared")
     drop_path(spark, f"{path}/segments")
 
     contents = shared.groupBy("minimizer", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "start", "windows")).alias("one"))
     kinds = contents.groupBy("minimizer").agg(F.count(F.lit(1)).alias("contents"), F.sum(F.col("one.windows") + least - 1).alias("size"))
-    contents = cut(contents.join(kinds, "minimizer"))
+    contents = _stored(contents.join(kinds, "minimizer"), f"{path}/contents")
     places = shared.dropDuplicates(["rid", "start"])
 
     # Texts with a shared minimizer are all that is read from here on.
@@ -278,12 +284,12 @@ def repeated_spans(docs: DataFrame, least: int = 200) -> tuple[DataFrame, DataFr
     texts = spark.read.parquet(f"{path}/texts")
     mixed = contents.where("contents > 1").select("minimizer", "content", "size", "one.*")
     pieces = mixed.join(texts, "rid").select("minimizer", "content", "size", F.expr(f"substring(cast(text as binary), cast(start as int) + 1, cast(windows as int) + {least - 1})").alias("bytes"))
-    pieces = cut(pieces)
-    runs = cut(_indexed(pieces.where(F.col("size") <= MOST), least).unionByName(_counted(pieces.where(F.col("size") > MOST), least)))
+    pieces = _stored(pieces, f"{path}/pieces")
+    runs = _stored(_indexed(pieces.where(F.col("size") <= MOST), least).unionByName(_counted(pieces.where(F.col("size") > MOST), least)), f"{path}/runs")
 
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("windows") - 1).cast("int").alias("last")))
     # One join of two plain shuffles again: a content with very many copies is split.
-    verdicts = cut(contents.select("minimizer", "content", "copies").join(runs, ["minimizer", "content"], "left"))
+    verdicts = _stored(contents.select("minimizer", "content", "copies").join(runs, ["minimizer", "content"], "left"), f"{path}/verdicts")
     known = places.join(verdicts, ["minimizer", "content"])
     span = lambda r: F.struct((F.col("start") + r["first"]).alias("start"), (F.col("start") + r["last"] + least).alias("end"))
     found = known.select("rid", F.explode(F.transform(F.when(F.col("copies") > 1, whole).otherwise(F.col("runs")), span)).alias("span"))
