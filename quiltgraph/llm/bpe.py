@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -243,7 +244,10 @@ class Vocabulary:
         """Ids of one slice as little-endian 32-bit integers."""
         got = self.cache.get(piece)
         if got is None:
-            got = self.older.get(piece) or np.array(self.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+            got = self.older.get(piece)
+            if got is None:
+                ids = self.merge(piece.encode("utf-8", "surrogatepass"))
+                got = struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= CACHED_LENGTH:
                 if len(self.cache) >= CACHE:
                     self.cache, self.older = {}, self.cache
