@@ -1,10 +1,12 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes.
 
-Features are the hashed byte n-grams (``ORDERS``) that a text has, present or not.
-Each is scaled by the log-count ratio r of the two classes with add-one
-smoothing, and a logistic regression is fitted to the scaled features. The fit uses
-at most ``per_class`` labelled texts of each class, in one task, and gives one
-weight for each bucket; scoring reads every whole text.
+Features are the hashed n-grams (``ORDERS``) of the characters of the lower-cased text
+between two blanks, counted and divided by the text's length plus ``SMOOTH`` characters.
+Each is scaled by the log-count ratio r of the two classes with add-one smoothing,
+and a logistic regression with a quadratic penalty is fitted to the scaled features by
+L-BFGS until no slope is above ``SLOPE``. The fit uses at most ``per_class`` labelled
+texts of each class, in one task, and gives one weight for each bucket; scoring reads
+every whole text.
 
 Defined results: null and empty texts have no features and score by the intercept;
 repeated rows are scored each; without labelled rows of both classes every score is
@@ -15,7 +17,7 @@ null, are ignored; other columns pass unchanged.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,92 +29,123 @@ from pyspark.sql import types as T
 from quiltgraph.llm.common import free_name
 from quiltgraph.llm.sampling import labelled_sample, prior_shift
 
-ORDERS = (3, 4, 5)
-BITS = 19
-STEPS = 80
-RATE = 0.05
-PENALTY = 1e-4
+ORDERS = (4, 5, 6, 7)
+BITS = 20
+SMOOTH = 200  # characters added to a text's length
+RATE = 1000  # the fit counts n-grams in so many characters
+UNIT = 1 << 18  # packed weights are for n-grams in so many characters
+ROUNDS = 500  # at most; SLOPE ends the fit before
+SLOPE = 1e-4
+PENALTY = 1e-3
+MEMORY = 6  # steps that L-BFGS remembers
 LEAST = 3  # sampled texts that must have a feature
-CHUNK = 1 << 20  # bytes hashed at a time
+CHUNK = 1 << 20  # characters hashed at a time
 PART = 1 << 19  # features read at a time when fitting
 
 
-def hashed(data: np.ndarray) -> Iterator[np.ndarray]:
-    """Buckets of the n-grams of each order in lower-cased bytes."""
-    low = data.astype(np.uint32)
-    low += (low - 65 < 26).astype(np.uint32) * 32
-    h = low.copy()
-    for n in range(2, max(ORDERS) + 1):
-        if len(low) < n:
-            return
-        h = h[:-1] * np.uint32(0x01000193) + low[n - 1 :] * np.uint32(0x9E3779B1)
-        if n in ORDERS:
-            x = h ^ (h >> np.uint32(15))
-            yield (x * np.uint32(0x2C1B3C6D) + np.uint32(n * 0x85EB)) >> np.uint32(32 - BITS)
-
-
-def chunks(text: str) -> Iterator[np.ndarray]:
-    """The text's bytes, in pieces that share enough bytes to lose no n-gram."""
-    data, over = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), max(ORDERS) - 1
-    for a in range(0, max(len(data) - over, 1), CHUNK):
-        yield data[a : a + CHUNK + over]
+def hashed(text: str) -> Iterator[np.ndarray]:
+    """Buckets of all n-grams, CHUNK starts at a time; the pieces share what the longest n-gram needs."""
+    low = f" {text.lower()} "
+    for a in range(0, len(low), CHUNK):
+        piece = np.frombuffer(low[a : a + CHUNK + max(ORDERS) - 1].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
+        h = piece
+        for n in range(2, max(ORDERS) + 1):
+            if len(piece) < n:
+                break
+            h = h[:-1] * np.uint32(0x01000193) + piece[n - 1 :] * np.uint32(0x9E3779B1)
+            if n in ORDERS:
+                x = h[:CHUNK] ^ (h[:CHUNK] >> np.uint32(15))
+                yield (x * np.uint32(0x2C1B3C6D) + np.uint32(n * 0x85EB)) >> np.uint32(32 - BITS)
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text, and how often each occurs."""
+    if len(text) > CHUNK:
+        n = np.zeros(1 << BITS, np.int64)
+        for h in hashed(text):
+            n += np.bincount(h, minlength=1 << BITS)
+        found = np.flatnonzero(n).astype(np.uint32)
+        return found, n[found]
+    parts = list(hashed(text)) if text else []
+    return np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint32), return_counts=True)
 
 
 def features(text: str) -> np.ndarray:
     """The distinct buckets of a text."""
-    found = [np.unique(h) for part in chunks(text) for h in hashed(part)]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint32)
+    return counted(text)[0]
 
 
 class Scorer:
-    """The sum of the weights of a text's distinct buckets, without a sort."""
+    """The sum of the weights of a text's n-grams, scaled by its length."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
-        self.last = np.zeros(1 << BITS, np.int32)
-        self.seen = np.zeros(1 << BITS, bool)
 
     def score(self, text: str) -> float:
-        parts = list(chunks(text)) if text else []
-        if len(parts) > 1:
-            self.seen[:] = False
-            for part in parts:
-                for h in hashed(part):
-                    self.seen[h] = True
-            total = float(self.weights[self.seen].sum())
-        else:
-            found = [h for part in parts for h in hashed(part)]
-            total = 0.0
-            if found:
-                h = np.concatenate(found)
-                order = np.arange(len(h), dtype=np.int32)
-                self.last[h] = order  # a bucket keeps its last place in this text
-                total = float(self.weights[h[self.last[h] == order]].sum())
-        z = self.bias + total
+        total = sum(float(self.weights.take(h).sum(dtype=np.float64)) for h in hashed(text)) if text else 0.0
+        z = self.bias + total * UNIT / (len(text or "") + SMOOTH)
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
+def minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """Where convex ``f``, which gives its value and slopes, is least: L-BFGS with halved steps."""
+    value, g = f(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(ROUNDS):
+        if np.abs(g).max() < SLOPE:
+            break
+        d, used = -g, []
+        for s, y, rho in reversed(past):
+            a = rho * (s @ d)
+            d -= a * y
+            used.append(a)
+        d *= 1 / (past[-1][2] * (past[-1][1] @ past[-1][1])) if past else 1 / max(1.0, np.abs(g).sum())
+        for (s, y, rho), a in zip(past, reversed(used)):
+            d += (a - rho * (y @ d)) * s
+        step, slope = 1.0, float(g @ d)
+        while True:
+            new = x + step * d
+            value_new, g_new = f(new)
+            if value_new <= value + 1e-4 * step * slope or step < 1e-10:
+                break
+            step /= 2
+        s, y = new - x, g_new - g
+        if value_new >= value:
+            break
+        if s @ y > 1e-12:
+            past = [*past[1 - MEMORY :], (s, y, 1 / float(s @ y))]
+        x, value, g = new, value_new, g_new
+    return x
+
+
 def fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
-    """(weight of each bucket, intercept). Features are kept as 32-bit numbers, and read PART at a time."""
+    """(weight of each bucket, intercept). Texts are hashed twice, so that only features that count are kept; PART of them are read at a time."""
     n, one = len(texts), 1 << BITS
+    scale = RATE / (np.array([len(t) for t in texts]) + SMOOTH)
     p, q, has = np.ones(one), np.ones(one), np.zeros(one, np.int32)
-    rows = []
-    for text, label in zip(texts, y):
-        f = features(text).astype(np.int32)
-        (p if label == 1 else q)[f] += 1
+    for text, label, part in zip(texts, y, scale):
+        f, times = counted(text)
+        (p if label == 1 else q)[f] += times * part
         has[f] += 1
-        rows.append(f)
     r = np.log(p / p.sum()) - np.log(q / q.sum())
     r[has < min(LEAST, max(1, n // 4))] = 0.0
     name = np.flatnonzero(r)
     place = np.zeros(one, np.int32)
     place[name] = np.arange(len(name), dtype=np.int32)
-    rows = [place[f[r[f] != 0]] for f in rows]
-    full = np.array([i for i, f in enumerate(rows) if len(f)], np.int64)
-    size = np.array([len(rows[i]) for i in full], np.int64)
-    column = np.concatenate([rows[i] for i in full]) if len(full) else np.zeros(0, np.int32)
-    del rows
-    ends = np.cumsum(size)
+    total = int(has[name].sum(dtype=np.int64))
+    column, value = np.empty(total, np.int32), np.empty(total, np.float32)
+    full, ends, at = [], [], 0
+    for i, text in enumerate(texts):
+        f, times = counted(text)
+        kept = r[f] != 0
+        to = at + int(kept.sum())
+        if to > at:
+            column[at:to], value[at:to] = place[f[kept]], times[kept] * scale[i]
+            full.append(i)
+            ends.append(to)
+        at = to
+    full, ends = np.array(full, np.int64), np.array(ends, np.int64)
+    size = np.diff(ends, prepend=0)
     parts, at = [], 0  # (first row, end row, first feature, end feature)
     while at < len(full):
         low = int(ends[at - 1]) if at else 0
@@ -120,27 +153,22 @@ def fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
         parts.append((at, to, low, int(ends[to - 1])))
         at = to
     scaled, k = r[name], len(name)
-    w, b = np.zeros(k), 0.0
-    m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
-    for t in range(1, STEPS + 1):  # Adam on the whole sample
-        z = np.full(n, b)
-        weight = scaled * w
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        z, weight, g = np.full(n, x[k]), scaled * x[:k], np.zeros(k + 1)
         for i, j, low, high in parts:
-            z[full[i:j]] += np.add.reduceat(weight[column[low:high]], ends[i:j] - size[i:j] - low)
+            z[full[i:j]] += np.add.reduceat(weight[column[low:high]] * value[low:high], ends[i:j] - size[i:j] - low)
         error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-        g = np.zeros(k)
         for i, j, low, high in parts:
-            g += np.bincount(column[low:high], weights=np.repeat(error[full[i:j]], size[i:j]), minlength=k)
-        g = g * scaled / n + PENALTY * w
-        gb = error.mean()
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        c1, c2 = 1 - 0.9**t, 1 - 0.999**t
-        w -= RATE * (m / c1) / (np.sqrt(v / c2) + 1e-8)
-        b -= RATE * (mb / c1) / (math.sqrt(vb / c2) + 1e-8)
+            g[:k] += np.bincount(column[low:high], weights=np.repeat(error[full[i:j]], size[i:j]) * value[low:high], minlength=k)
+        g[:k] = g[:k] * scaled / n + PENALTY * x[:k]
+        g[k] = error.mean()
+        return float((np.logaddexp(0, z) - y * z).mean() + PENALTY / 2 * (x[:k] @ x[:k])), g
+
+    x = minimum(loss, np.zeros(k + 1))
     weights = np.zeros(one, np.float32)
-    weights[name] = scaled * w
-    return weights, float(b)
+    weights[name] = scaled * x[:k] * (RATE / UNIT)
+    return weights, float(x[k])
 
 
 def train(docs: DataFrame, labels: DataFrame, is_train: Column, label: str = "toxic", per_class: int = 1000) -> tuple[bytes, float]:

@@ -298,3 +298,32 @@ def test_toxicity_reads_wide_characters_to_the_end():
     weights[toxicity.features("zqxjk")] = 1.0
     long_ = "é" * (toxicity.CHUNK * 3 // 4) + " zqxjk"
     assert toxicity.Scorer(weights, 0.0).score(long_) > 0.9
+
+
+def test_toxicity_counts_words_on_long_accented_stems():
+    rng = random.Random(12)
+    parts = ["ré", "eux", "ment", "é", "tre", "ou", "elle", "ê", "ch", "ai"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randrange(2, 5)))
+
+    def text(toxic):
+        words = [word() for _ in range(rng.randrange(80, 400))]
+        for _ in range(max(4, len(words) // 25) if toxic else rng.randrange(2)):
+            words.insert(rng.randrange(len(words)), "réeux" + word())
+        return " ".join(words)
+
+    y = np.array([i % 4 == 0 for i in range(600)], float)
+    texts = [text(t) for t in y]
+    weights, bias = toxicity.fit(texts[:400], y[:400])
+    got = np.array([toxicity.Scorer(weights, bias).score(t) >= 0.5 for t in texts[400:]])
+    assert got[y[400:] == 1].mean() >= 0.9 and got[y[400:] == 0].mean() <= 0.05
+
+
+def test_toxicity_counts_each_ngram_once_in_pieces(monkeypatch):
+    text = "Ärger réeux 🎉 kind words " * 40
+    weights = np.random.default_rng(3).normal(size=1 << toxicity.BITS).astype(np.float32) / toxicity.UNIT
+    ids, times = toxicity.counted(text)
+    whole = toxicity.Scorer(weights, 0.0).score(text)
+    assert 0.01 < whole < 0.99 and times.sum() == sum(len(text) + 3 - n for n in toxicity.ORDERS)
+    monkeypatch.setattr(toxicity, "CHUNK", 9)
+    assert toxicity.Scorer(weights, 0.0).score(text) == pytest.approx(whole, abs=1e-6)
+    assert all((a == b).all() for a, b in zip(toxicity.counted(text), (ids, times)))
