@@ -3,7 +3,9 @@
 Messages are (conv_id, turn, role, text). An assistant's text that is a JSON object with
 ``tool_calls`` (an array of {id, name, arguments}) makes calls; a tool's text that is
 a JSON object with ``tool_call_id`` is a result. Calls and results are hash-joined on
-(conv_id, id) through one aggregate row for each key, so repeats never multiply.
+(conv_id, id) through one aggregate row for each key, so repeats never multiply, and go
+back to their messages by a row number: the messages that call or answer are
+written once with it, all others are formatted as they are read.
 Arguments may hold {"$ref": id} to use another call's result: a call's level is one
 more than the highest level of what it refers to, found in rounds that settle
 calls whose references are settled; what never settles is in a cycle. Arguments
@@ -12,8 +14,10 @@ written as canonical JSON: keys sorted, no blanks, nulls left out.
 
 Defined results: a null text is null content and is left out; null roles and ids likewise;
 text that isn't such JSON is plain content; results without a call and calls without a
-result are kept and counted as not linked; repeated rows are messages each; a call
-of a tool without a schema is valid; other columns are ignored; no rows, no results.
+result are kept and counted as not linked; repeated rows, and rows of one turn, are
+messages each, with the calls or the id of their own text; a null turn changes nothing;
+calls and results of a null conv_id are kept, in the order of the text, and never linked;
+a call of a tool without a schema is valid; other columns are ignored; no rows, no results.
 """
 
 from __future__ import annotations
@@ -21,11 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiltgraph.llm.common import cut
+from quiltgraph.llm.common import cut, scratch_path
 
 #: Types that a schema may name, and how Spark describes such JSON values.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
 
+ROW = "message_row"  # a message's number, carried where it is given
+
 Schemas = dict[str, dict[str, tuple[str, bool]]]
 
 
@@ -50,16 +56,18 @@ def _faults(schemas: Schemas) -> Column:
 
 def tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     """(conv_id, turn, k, id, name, arguments, faults) of each call."""
-    made = messages.where("role = 'assistant'").select("conv_id", "turn", F.try_variant_get(_parsed("text"), "$.tool_calls", "array<variant>").alias("calls"))
-    each = made.select("conv_id", "turn", F.posexplode("calls").alias("k", "call"))
+    own = [c for c in messages.columns if c == ROW]
+    made = messages.where("role = 'assistant'").select("conv_id", "turn", *own, F.try_variant_get(_parsed("text"), "$.tool_calls", "array<variant>").alias("calls"))
+    each = made.select("conv_id", "turn", *own, F.posexplode("calls").alias("k", "call"))
     get = lambda path, kind: F.try_variant_get("call", path, kind)
-    calls = each.select("conv_id", "turn", F.col("k").cast("long").alias("k"), get("$.id", "string").alias("id"), get("$.name", "string").alias("name"), get("$.arguments", "variant").alias("arguments"))
+    calls = each.select("conv_id", "turn", *own, F.col("k").cast("long").alias("k"), get("$.id", "string").alias("id"), get("$.name", "string").alias("name"), get("$.arguments", "variant").alias("arguments"))
     return calls.withColumn("faults", _faults(schemas))
 
 
 def tool_results(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, id) of each result."""
-    found = messages.where("role = 'tool'").select("conv_id", "turn", F.try_variant_get(_parsed("text"), "$.tool_call_id", "string").alias("id"))
+    own = [c for c in messages.columns if c == ROW]
+    found = messages.where("role = 'tool'").select("conv_id", "turn", *own, F.try_variant_get(_parsed("text"), "$.tool_call_id", "string").alias("id"))
     return found.where("id is not null")
 
 
@@ -90,26 +98,33 @@ def linked_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
 
 
 def linked_results(messages: DataFrame) -> DataFrame:
-    """Results with the call that they answer, if any: (..., name, call_turn)."""
+    """Results with the call that they answer, if any: (..., name, call_turn, linked)."""
+    own = [c for c in messages.columns if c == ROW]
     calls = tool_calls(messages, {}).groupBy("conv_id", "id").agg(F.min(F.struct("turn", "k", "name")).alias("c"))
-    return tool_results(messages).join(calls, ["conv_id", "id"], "left").select("conv_id", "turn", "id", F.col("c.name").alias("name"), F.col("c.turn").alias("call_turn"))
+    return tool_results(messages).join(calls, ["conv_id", "id"], "left").select("conv_id", "turn", *own, "id", F.col("c.name").alias("name"), F.col("c.turn").alias("call_turn"), F.col("c").isNotNull().alias("linked"))
 
 
 def format_messages(messages: DataFrame, schemas: Schemas | None = None) -> DataFrame:
     """One row per message: its canonical JSON, its calls and results, and how many of them are linked and valid."""
     source = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    answers = F.try_variant_get(_parsed("text"), "$.tool_call_id", "string")
+    calling = (F.col("role") == "assistant") & F.try_variant_get(_parsed("text"), "$.tool_calls", "array<variant>").isNotNull()
+    is_result = F.coalesce((F.col("role") == "tool") & answers.isNotNull(), F.lit(False))
+    linking = F.coalesce(calling, F.lit(False)) | is_result
+    path = scratch_path(messages.sparkSession, "chat")
+    source.where(linking).withColumn(ROW, F.monotonically_increasing_id()).write.parquet(path)
+    numbered = messages.sparkSession.read.parquet(path)
     one = F.struct(F.coalesce("level", F.lit(2147483647)).alias("level"), "k", F.to_json(F.struct("arguments", "id", "name")).alias("json"))
-    calls = linked_calls(source, schemas or {}).groupBy("conv_id", "turn").agg(
-        F.array_distinct(F.sort_array(F.collect_set(one))).alias("calls"),
+    calls = linked_calls(numbered, schemas or {}).groupBy(ROW).agg(
+        F.sort_array(F.collect_list(one)).alias("calls"),
         F.count_if(F.col("n_results") > 0).alias("linked"),
         F.count_if(F.col("faults") > 0).alias("invalid"),
     )
-    results = linked_results(source).groupBy("conv_id", "turn").agg(F.min("id").alias("answers"), F.count_if(F.col("call_turn").isNotNull()).alias("answered"))
-    rows = source.join(calls, ["conv_id", "turn"], "left").join(results, ["conv_id", "turn"], "left")
-    is_call = (F.col("role") == "assistant") & F.try_variant_get(_parsed("text"), "$.tool_calls", "array<variant>").isNotNull() & F.col("calls").isNotNull()
-    is_result = (F.col("role") == "tool") & F.try_variant_get(_parsed("text"), "$.tool_call_id", "string").isNotNull()
+    results = linked_results(numbered).select(ROW, F.col("linked").cast("long").alias("answered"))
+    rows = numbered.join(calls, ROW, "left").join(results, ROW, "left").unionByName(source.where(~linking), allowMissingColumns=True)
+    is_call = F.coalesce(calling, F.lit(False)) & F.col("calls").isNotNull()
     inner = F.try_variant_get(_parsed("text"), "$.content", "string")
-    head = F.to_json(F.struct(F.when(is_call | is_result, inner).otherwise(F.col("text")).alias("content"), "role", F.when(is_result, F.col("answers")).alias("tool_call_id")))
+    head = F.to_json(F.struct(F.when(is_call | is_result, inner).otherwise(F.col("text")).alias("content"), "role", F.when(is_result, answers).alias("tool_call_id")))
     with_calls = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.when(head != "{}", F.lit(",")).otherwise(F.lit("")), F.lit('"tool_calls":['), F.array_join(F.transform("calls", lambda c: c["json"]), ","), F.lit("]}"))
     zero = F.lit(0).cast("long")
     return rows.select(

@@ -327,3 +327,14 @@ def test_toxicity_counts_each_ngram_once_in_pieces(monkeypatch):
     monkeypatch.setattr(toxicity, "CHUNK", 9)
     assert toxicity.Scorer(weights, 0.0).score(text) == pytest.approx(whole, abs=1e-6)
     assert all((a == b).all() for a, b in zip(toxicity.counted(text), (ids, times)))
+
+
+def test_chat_links_by_message(spark):
+    call = lambda *ids: '{"tool_calls":[' + ",".join(f'{{"id":"{i}","name":"n"}}' for i in ids) + "]}"
+    result = lambda i: f'{{"tool_call_id":"{i}","content":"r{i}"}}'
+    rows = [(1, 0, "assistant", call("a", "b")), (1, 0, "assistant", call("c")), (1, 1, "tool", result("a")), (1, 1, "tool", result("c")), (1, None, "assistant", call("d")), (1, None, "tool", result("d")), (None, 0, "assistant", call("e")), (None, None, "tool", result("e")), (1, 0, "assistant", call("c"))]
+    got = chat.format_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    text = lambda *ids: '{"role":"assistant","tool_calls":[' + ",".join(f'{{"id":"{i}","name":"n"}}' for i in ids) + "]}"
+    answer = lambda i: f'{{"content":"r{i}","role":"tool","tool_call_id":"{i}"}}'
+    expected = [(1, 0, text("a", "b"), 2, 1), (1, 0, text("c"), 1, 1), (1, 0, text("c"), 1, 1), (1, 1, answer("a"), 0, 1), (1, 1, answer("c"), 0, 1), (1, None, text("d"), 1, 1), (1, None, answer("d"), 0, 1), (None, 0, text("e"), 1, 0), (None, None, answer("e"), 0, 0)]
+    assert sorted(((r.conv_id, r.turn, r.message, r.n_calls, r.n_linked) for r in got), key=str) == sorted(expected, key=str)
