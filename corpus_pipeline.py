@@ -30,11 +30,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates; rows without an id stay."""
-    groups = jaccard.link(docs, NEAR_WORDS, NEAR_PERCENT)
-    least = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(least, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return stay.unionByName(docs.where("doc_id is null"))
+    """One row of each group of near duplicates, that with the least id; one without an id only where none has any.
+
+    Rows are told apart by a 64-bit hash of id and text, so those of one id are compared too. Rows
+    that agree in both are one row, but for rows without an id and without words, which all stay.
+    """
+    number = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    numbered = docs.withColumn("row_", number)
+    groups = jaccard.link(numbered.select(F.col("row_").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
+    ids = numbered.select("row_", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_").alias("order")).distinct()
+    member = groups.select(F.col("doc_id").alias("row_"), "n_shingles", F.col("component_id").alias("group")).distinct()
+    kept = member.join(ids, "row_").groupBy("group").agg(F.min("order").alias("kept"), F.max("n_shingles").alias("n")).select(F.col("kept.row_").alias("row_"), "n")
+    own = F.when(F.col("doc_id").isNull() & (F.col("n") == 0), F.monotonically_increasing_id()).otherwise(0)
+    return numbered.join(kept, "row_").withColumn("own_", own).dropDuplicates(["row_", "own_"]).select(docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,16 @@ def test_run(spark):
 def test_every_operator_is_registered():
     assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(21)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    docs = [(1, a), (1, b), (1, b + " more"), (2, a), (0, b + " less"), (3, c), (None, c), (None, d), (None, d + " end"), (5, ""), (5, ""), (None, ""), (None, ""), (6, None)]
+    rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], COLUMNS)
+    got = sorted(((r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, rows, "").collect()), key=str)
+    unknown = [t for i, t in got if i is None and t]
+    assert len(unknown) == 1 and unknown[0].startswith(d)
+    assert [x for x in got if x[0] is not None] == sorted([(0, b + " less"), (1, a), (3, c), (5, ""), (6, None)], key=str)
+    assert got.count((None, "")) == 2
