@@ -46,6 +46,13 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
+def byte_spans(text: str, spans: list) -> list[tuple[int, int]]:
+    """Spans of words ([start, end), as rows of hit_spans) as spans of the text's UTF-8 bytes."""
+    blank = np.frombuffer(b" " + text.encode("utf-8", "surrogatepass").translate(FOLD) + b" ", np.uint8) == 32
+    start, end = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    return [(int(start[x["start"]]), int(end[x["end"] - 1])) for x in spans]
+
+
 class Windows:
     """The distinct windows of a block of items: terms, and the items of each."""
 

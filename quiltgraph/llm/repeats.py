@@ -26,7 +26,7 @@ together count as equal bytes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -336,18 +336,40 @@ def repeat_digests(docs: DataFrame, least: int = 200) -> DataFrame:
     return whole.join(changed, "rid", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
 
 
-def remove_repeats(docs: DataFrame, least: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the repeated bytes of ``text``; a character goes only if all its bytes are repeats."""
+def without(spans: list[tuple[int, int]], spared: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of merged ``spans`` lies outside ``spared``, which may overlap."""
+    out, other = [], merged([{"start": a, "end": b} for a, b in spared])
+    for a, b in spans:
+        for x, y in other:
+            if x < b and y > a:
+                if x > a:
+                    out.append((a, x))
+                a = y
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def remove_repeats(docs: DataFrame, least: int = 200, doc_id: str = "doc_id", text: str = "text", spared: str | None = None, spared_bytes: Callable[[str, list], list[tuple[int, int]]] | None = None) -> DataFrame:
+    """``docs`` without the repeated bytes of ``text``; a character goes only if all its bytes are repeats.
+
+    ``spared_bytes`` makes of a text and its value in the column ``spared``, which is the
+    same for equal texts, spans [start, end) of bytes that stay although they repeat.
+    """
     marked = _identified(docs, doc_id, text)
     rid = marked.columns[-1]
-    spans, texts, path = repeated_spans(marked.select(F.col(rid).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text")), least)
+    own = F.lit(None).cast("string") if spared is None else F.col(spared)
+    spans, texts, path = repeated_spans(marked.select(F.col(rid).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"), own.alias("spared")), least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for value, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            for value, found, kept in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "spared"))):
                 data, s = value.encode(), []
-                for a, b in merged(found):
+                cut_out = merged(found)
+                if kept and spared_bytes:
+                    cut_out = without(cut_out, spared_bytes(value, kept))
+                for a, b in cut_out:
                     while a < b and data[a] & 0xC0 == 0x80:
                         a += 1
                     while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
@@ -356,7 +378,7 @@ def remove_repeats(docs: DataFrame, least: int = 200, doc_id: str = "doc_id", te
                 out.append(_kept(data, s).decode())
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out, pa.string())], names=["rid", "text_left"])
 
-    changed = cut(texts.join(spans, "rid").select("rid", "text", "spans").mapInArrow(run, "rid long, text_left string"))
+    changed = cut(texts.join(spans, "rid").select("rid", "text", "spans", "spared").mapInArrow(run, "rid long, text_left string"))
     drop_path(docs.sparkSession, path)
     left = marked.join(changed.select(F.col("rid").alias(rid), F.col("text_left").alias(free_name(marked, "text_left"))), rid, "left")
     return left.withColumn(text, F.coalesce(left.columns[-1], text)).select(docs.columns)

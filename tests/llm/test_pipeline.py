@@ -6,6 +6,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from quiltgraph.llm import bpe, decontaminate, jaccard, queries, repeats
@@ -18,18 +19,20 @@ def folder(spark, tmp_path_factory):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(3, 8)))
     text = lambda n: " ".join(word() for _ in range(n))
-    passage, item = text(70), text(30)
+    passage, item, long_item = text(70), text(30), text(55)
     docs = [(i, text(120)) for i in range(60)]
     docs += [(100 + i, text(60) + " zqxjk vile " + text(60)) for i in range(60)]
     docs += [(300, docs[3][1]), (301, docs[4][1] + " extra"), (302, text(50) + " " + passage), (303, text(50) + " " + passage), (304, text(20) + " " + item), (305, None), (306, ""), (None, text(90))]
+    docs += [(310 + i, text(40) + " " + long_item + " " + text(20)) for i in range(3)]  # a benchmark passage that recurs
     out = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], COLUMNS).write.parquet(f"{out}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i >= 100)) for i, _ in docs[:115]], "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
-    return out
+    spark.createDataFrame([(1, item), (2, long_item)], "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
+    return out, long_item
 
 
 def test_stages(spark, folder, tmp_path):
+    folder, long_item = folder
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
     docs, seen = read("documents"), []
     for k, (name, stage) in enumerate(pipeline.STAGES):
@@ -45,11 +48,14 @@ def test_stages(spark, folder, tmp_path):
             assert ids - {None} == {d for d, _, c in jaccard.brute_force(known, 5, 80) if d == c}
         elif name == "suffix_array_dedup":
             expected = {d: n for d, _, n, _, _ in repeats.brute_force(before, 200)}
-            assert all(len(dict(before)[r.doc_id] or "") - len(r.text or "") == expected[r.doc_id] for r in after)
+            assert all(expected[310 + i] > 200 for i in range(3))
+            left = {r.doc_id: r.text or "" for r in after}
+            assert all(f" {long_item} " in left[310 + i] for i in range(3))  # for the next stage to decide by
+            assert all(len(dict(before)[i] or "") - len(t) == expected[i] for i, t in left.items() if i not in (310, 311, 312))
             assert expected[302] and expected[303] and next(r for r in after if r.doc_id == 302).n_chars < 600
         elif name == "benchmark_decontamination":
             items = [(r.item_id, r.text) for r in read("benchmark").collect()]
-            assert ids == {r[0] for r in decontaminate.brute_force(before, items) if not r[5]} and 304 not in ids
+            assert ids == {r[0] for r in decontaminate.brute_force(before, items) if not r[5]} and not ids & {304, 310, 311, 312}
         if name != "byte_level_bpe":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         seen.append(name)
@@ -79,3 +85,33 @@ def test_one_row_of_each_group_stays(spark):
     assert len(unknown) == 1 and unknown[0].startswith(d)
     assert [x for x in got if x[0] is not None] == sorted([(0, b + " less"), (1, a), (3, c), (5, ""), (6, None)], key=str)
     assert got.count((None, "")) == 2
+
+
+def test_odd_tables(spark, folder):
+    """Empty tables, and columns whose names the stages use themselves."""
+    folder, _ = folder
+    read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    names = ["row_", "n_", "own_", "toxic_score", "text_before", "rid", "n_words", "hit_spans", "items", "kept_id", "text_left", "spans"]
+    docs = read("documents")
+    for name in names:
+        docs = docs.withColumn(name, F.col("doc_id"))
+    for k, (_, stage) in enumerate(pipeline.STAGES[:4]):
+        got = stage(spark, docs, folder)
+        rows = got.collect()
+        assert got.columns == docs.columns and rows
+        assert all(r[name] == r.doc_id for r in rows for name in names)
+        assert stage(spark, read("documents").limit(0), folder).count() == 0
+    assert pipeline.STAGES[4][1](spark, docs.limit(0), folder).count() == 0
+
+
+def test_without_labels_nothing_is_toxic(spark, folder, tmp_path):
+    folder, _ = folder
+    spark.read.parquet(f"{folder}/labels.parquet").where("toxic = 0").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_spared_bytes():
+    assert repeats.without([(0, 10), (20, 30)], [(2, 4), (3, 5), (25, 40)]) == [(0, 2), (5, 10), (20, 25)]
+    assert repeats.without([(5, 8)], [(0, 20)]) == [] and repeats.without([(5, 8)], []) == [(5, 8)]
+    assert decontaminate.byte_spans("É, bc d", [{"start": 0, "end": 1}, {"start": 1, "end": 3}]) == [(0, 2), (4, 8)]
