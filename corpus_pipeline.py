@@ -2,8 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir), with the columns of ``documents``, and returns a
 DataFrame that is written as Parquet and read again as the next stage's docs. All but
-the last return the columns they got. A row of any id and text, null included, goes
-through every stage; what each operator makes of it stands in that operator's module.
+the last return the columns they got.
+
+Defined results, for every stage: a null or empty text is never toxic, near another,
+repeated or contaminated, and has no tokens; a null doc_id is kept like any other (of
+near copies, only where none has an id). Rows that agree in id and text leave the second
+stage once; an id with several texts is as many documents. Texts of any length are read
+whole. An empty table gives an empty table, and without labels nothing is toxic. Columns
+beyond those of ``documents``, of any name, pass through the first four stages unchanged.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quiltgraph import ship
 from quiltgraph.llm import bpe, decontaminate, jaccard, repeats, toxicity
-from quiltgraph.llm.common import scratch_path, table
+from quiltgraph.llm.common import free_name, scratch_path, table
 from quiltgraph.llm.queries import default_ranks
 
 TOXIC_AT = 0.5
@@ -25,6 +31,8 @@ BENCHMARK_WORDS, BENCHMARK_SHARE = 13, 20
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC_AT by a classifier fitted to all their labels."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    if not model[0]:  # labels of both classes are missing, so nothing was learned
+        return docs
     scored = toxicity.score(docs, model, out="toxic_score")
     return scored.where(F.col(scored.columns[-1]) < TOXIC_AT).select(docs.columns)
 
@@ -35,20 +43,32 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by a 64-bit hash of id and text, so those of one id are compared too. Rows
     that agree in both are one row, but for rows without an id and without words, which all stay.
     """
+    row, n, own = (free_name(docs, c) for c in ("row_", "n_", "own_"))
     number = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
-    numbered = docs.withColumn("row_", number)
-    groups = jaccard.link(numbered.select(F.col("row_").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
-    ids = numbered.select("row_", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_").alias("order")).distinct()
-    member = groups.select(F.col("doc_id").alias("row_"), "n_shingles", F.col("component_id").alias("group")).distinct()
-    kept = member.join(ids, "row_").groupBy("group").agg(F.min("order").alias("kept"), F.max("n_shingles").alias("n")).select(F.col("kept.row_").alias("row_"), "n")
-    own = F.when(F.col("doc_id").isNull() & (F.col("n") == 0), F.monotonically_increasing_id()).otherwise(0)
-    return numbered.join(kept, "row_").withColumn("own_", own).dropDuplicates(["row_", "own_"]).select(docs.columns)
+    numbered = docs.withColumn(row, number)
+    groups = jaccard.link(numbered.select(F.col(row).alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
+    ids = numbered.select(F.col(row).alias("row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")).alias("order")).distinct()
+    member = groups.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("group")).distinct()
+    kept = member.join(ids, "row").groupBy("group").agg(F.min("order").alias("kept"), F.max("n_shingles").alias("n")).select(F.col("kept.row").alias(row), F.col("n").alias(n))
+    apart = F.when(F.col("doc_id").isNull() & (F.col(n) == 0), F.monotonically_increasing_id()).otherwise(0)
+    return numbered.join(kept, row).withColumn(own, apart).dropDuplicates([row, own]).select(docs.columns)
+
+
+def _with_separators(text: str, spans: list) -> list[tuple[int, int]]:
+    """Spans of words in bytes, with the byte before and after, so that they don't run into other words."""
+    return [(a - 1, b + 1) for a, b in decontaminate.byte_spans(text, spans)]
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated passages; documents of which nothing else is left go."""
-    left = repeats.remove_repeats(docs.withColumn("text_before", F.col("text")), REPEATED_BYTES)
-    changed = ~F.col("text").eqNullSafe(F.col("text_before"))
+    """Texts without their repeated passages; documents of which nothing else is left go.
+
+    Benchmark windows stay, repeated or not: the next stage decides by them on whole documents,
+    and a passage that had gone from its text could no longer speak against the document.
+    """
+    found = decontaminate.phrase_matches(docs, table(spark, sf_dir, "benchmark"), BENCHMARK_WORDS)
+    spans, before = found.columns[-2], free_name(found, "text_before")
+    left = repeats.remove_repeats(found.withColumn(before, F.col("text")), REPEATED_BYTES, spared=spans, spared_bytes=_with_separators)
+    changed = ~F.col("text").eqNullSafe(F.col(before))
     emptied = changed & (F.trim("text") == "")
     return left.where(~emptied).withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
 
