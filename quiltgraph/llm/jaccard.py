@@ -10,12 +10,15 @@ under each of the other orders are disjoint are dropped before verification; the
 verified by exact intersection.
 
 Only links between components matter, so a group of nodes that share a token is never
-expanded into pairs. First each node meets the least node of its groups, the lead. A lead
-and all that it met are a bundle; any two nodes that share a token are in the bundle of
-that token's lead. Bundles that still span several components are compared in blocks,
-where products of incidence matrices apply the same filters and the exact test to
-all pairs across components at once, and only links that join components come out.
-No link between different components is lost.
+expanded into pairs. First each node meets the least node of its groups, the lead. All
+that met a lead are its bundle; any two nodes that share a token are in the bundle of
+that token's lead, or one of them is the lead and they have met. Bundles that still span
+several components are compared in blocks, where products of incidence matrices apply
+the same filters and the exact test to all pairs across components at once, and only
+links that join components come out. No link between different components is lost.
+
+Texts travel only for nodes that can still be linked: those that met a lead of a size
+that agrees, and those of bundles of two or more.
 
 Defined results: null and empty texts have an empty set and link with nothing; a
 null doc_id is reported with a null component; repeated rows and rows that share a
@@ -26,11 +29,11 @@ gives an empty result. Equal 64-bit hashes count as equal shingles and equal set
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,13 +120,13 @@ class Sketch:
         for k in range(0, 1 << self.bits, size):
             part = self.count[k : k + size]
             if part.any():
-                yield k // size, zlib.compress(part.tobytes(), 1)
+                yield k // size, zstandard.compress(part.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)  # byte by byte: the high ones are mostly 0
 
 
 def _sets_and_counts(docs: DataFrame, width: int, bits: int) -> DataFrame:
-    """One pass: (doc_id, n, node) of each row, and each task's counts by chunk."""
-    names = ["doc_id", "n", "node", "chunk", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    """One pass over (doc_id, text, rid): (doc_id, rid, n, node) of each row, and each task's counts by chunk."""
+    names = ["doc_id", "rid", "n", "node", "chunk", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch(bits)
@@ -135,11 +138,11 @@ def _sets_and_counts(docs: DataFrame, width: int, bits: int) -> DataFrame:
                 sizes.append(len(s))
                 nodes.append(node_of(s))
             none = [None] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip((sizes, nodes, none, none), types[1:]))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(v, t) for v, t in zip((sizes, nodes, none, none), types[2:]))], names=names)
         for chunk, counts in sketch.chunks():
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, chunk, counts), types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, chunk, counts), types)], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, chunk int, counts binary")
+    return docs.select("doc_id", "text", "rid").mapInArrow(run, "doc_id long, rid long, n long, node long, chunk int, counts binary")
 
 
 def _classes(counted: DataFrame, bits: int) -> np.ndarray:
@@ -158,7 +161,7 @@ def _classes(counted: DataFrame, bits: int) -> np.ndarray:
                     if at is not None:
                         yield done()
                     at, total = chunk, np.zeros(size, np.int64)
-                total += np.frombuffer(zlib.decompress(counts.as_py()), np.uint32)
+                total += np.frombuffer(zstandard.decompress(counts.as_py()), np.uint8).reshape(4, size).T.copy().view(np.uint32)[:, 0]
         if at is not None:
             yield done()
 
@@ -322,46 +325,44 @@ def _across(bundles: DataFrame, texts: DataFrame, width: int, percent: int, clas
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    bits = min(MOST_BITS, max(12, (int(total) // 48 + 1).bit_length()))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("rid"))
+    bits = min(MOST_BITS, max(12, (64 * docs.count()).bit_length()))
 
     path = scratch_path(spark, "jaccard")
     _sets_and_counts(docs, width, bits).write.parquet(f"{path}/sets")
     first = spark.read.parquet(f"{path}/sets")
-    rows = cut(first.where("chunk is null").select("doc_id", "n", "node"))
+    rows = cut(first.where("chunk is null").select("doc_id", "rid", "n", "node"))
     broadcast = spark.sparkContext.broadcast
     classes = broadcast(_classes(first, bits))
     drop_path(spark, f"{path}/sets")
 
-    count = rows.count()
-    copies = rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("speaker"))
-    hot = broadcast({r.node: r.speaker for r in copies.where(F.col("c") > max(8, count // HOT_SHARE)).collect()})  # HOT_SHARE nodes at most
+    count, known = rows.count(), rows.where("n > 0 and doc_id is not null")
+    nodes = cut(known.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"), F.min(F.struct("doc_id", "rid")).alias("speaker")))
+    hot = broadcast({r.node: r.doc_id for r in nodes.where(F.col("c") > max(8, count // HOT_SHARE)).select("node", "speaker.doc_id").collect()})  # HOT_SHARE nodes at most
     _prefix_tokens(docs.where("doc_id is not null"), width, percent, classes, hot).write.parquet(f"{path}/tokens")
     tokens = spark.read.parquet(f"{path}/tokens")
     # Aggregates are cut before they are joined: a join of two plain shuffles is split where a key is very common.
-    often = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("lead")).where("times > 1").select("token", "lead"))
-    tokens.join(often, "token").write.parquet(f"{path}/repeated")
+    several = F.min("node").alias("lead"), F.max("node").alias("last")
+    shared = cut(tokens.groupBy("token").agg(*several).where("lead < last").select("token", "lead"))
+    tokens.join(shared, "token").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct().write.parquet(f"{path}/meet")
     drop_path(spark, f"{path}/tokens")
-    repeated = spark.read.parquet(f"{path}/repeated")
-    shared = cut(repeated.groupBy("token").agg(F.max(F.col("node") != F.col("lead")).alias("several")).where("several").select("token"))
-    sizes = rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("speaker"))
-    repeated.join(shared, "token", "left_semi").dropDuplicates(["token", "node"]).write.parquet(f"{path}/groups")
-    groups = spark.read.parquet(f"{path}/groups")
-
-    # One text for each node of a group, by the node's least document.
-    chosen = sizes.join(groups.select("node").distinct(), "node", "left_semi").select("node", F.col("speaker").alias("doc_id"))
-    _of_node(docs.join(chosen, "doc_id").dropDuplicates(["doc_id", "node", "text"]).select("node", "text"), width).write.parquet(f"{path}/texts")
+    meet = spark.read.parquet(f"{path}/meet")
+
+    stars = cut(_of_size(meet, nodes, percent))
+    bundled = cut(meet.groupBy("a").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("a"))
+    bundles = meet.join(bundled, "a", "left_semi")
+
+    # One text for each node that may be linked, from its least row.
+    wanted = stars.select(F.explode(F.array("a", "b")).alias("node")).unionByName(bundles.select(F.col("b").alias("node"))).distinct()
+    chosen = cut(nodes.join(wanted, "node", "left_semi").select("node", "speaker.doc_id", "speaker.rid"))
+    docs.join(chosen, ["doc_id", "rid"]).dropDuplicates(["doc_id", "rid"]).select("node", "text").write.parquet(f"{path}/texts", compression="zstd")
     texts = spark.read.parquet(f"{path}/texts")
 
-    meet = groups.where(F.col("node") != F.col("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    stars = cut(_of_size(meet, sizes, percent))
     links = cut(_verified(stars, texts, width, percent, classes))
     roots = components(links)
 
-    # What is left: bundles (a lead and all that it met) that still span several components.
-    leads = meet.select("a").distinct().select("a", F.col("a").alias("b"))
-    bundles = meet.unionByName(leads).select(F.col("a").alias("lead"), F.col("b").alias("node")).join(roots, "node", "left").select("lead", "node", F.coalesce("root", "node").alias("root"))
+    # What is left: bundles that still span several components.
+    bundles = bundles.select(F.col("a").alias("lead"), F.col("b").alias("node")).join(roots, "node", "left").select("lead", "node", F.coalesce("root", "node").alias("root"))
     open_ = cut(bundles.groupBy("lead").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("lead"))
     more = cut(_across(bundles.join(open_, "lead", "left_semi"), texts, width, percent, classes))
     if not more.isEmpty():
@@ -381,16 +382,6 @@ def _of_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return known.where(similar(percent, "n", "m")).select("a", "b")
 
 
-def _of_node(texts: DataFrame, width: int) -> DataFrame:
-    """``texts`` (node, text) whose set is the node's: an id that repeats may have brought another's text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([node == node_of(shingles(x.as_py(), width)) for node, x in zip(batch.column(0).to_pylist(), batch.column(1))], pa.bool_()))
-
-    return texts.mapInArrow(run, "node long, text string")
-
-
 def brute_force(docs: list[tuple[int, str | None]], width: int, percent: int) -> list[tuple[int, int, int]]:
     """The same rows by comparing all pairs of plain sets, for tests."""
     import re
