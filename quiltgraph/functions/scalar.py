@@ -265,9 +265,21 @@ def _coalesce(*args: Typed) -> Typed:
     return Typed(F.coalesce(*(cast(a, t).col for a in args)), t)
 
 
+def _whole(f) -> object:
+    """``f``, which gives a bigint, on numbers that may have a fraction; larger ones, infinities and NaN stay."""
+
+    def of(c: Column) -> Column:
+        c = c.cast("double")
+        return F.when(F.abs(c) < float(1 << 52), f(c).cast("double")).otherwise(c)
+
+    return of
+
+
 def _away(c: Column) -> Column:
-    c = c.cast("double")
-    return F.signum(c) * F.floor(F.abs(c) + 0.5).cast("double")
+    """The nearest whole number, halves away from zero: by the fraction, which is exact, and not by adding a half."""
+    size = F.abs(c)
+    low = F.floor(size)
+    return F.signum(c) * (low + F.when(size - low >= 0.5, 1).otherwise(0))
 
 
 SPACE = r"[\s\u0085   -     　]+"
@@ -284,7 +296,7 @@ FUNCTIONS: dict[str, tuple[int, int, object]] = {
     "tail": (1, 1, lambda x: Typed(F.slice(_list(x).col, 2, F.greatest(F.size(x.col), F.lit(1))), x.t)),
     "reverse": (1, 1, _reverse), "range": (2, 3, integer_range),
     "abs": (1, 1, _abs), "sign": (1, 1, _number(lambda c: F.signum(c).cast("bigint"), "int")),
-    "ceil": (1, 1, _number(lambda c: F.ceil(c).cast("double"))), "floor": (1, 1, _number(lambda c: F.floor(c).cast("double"))), "round": (1, 2, lambda x, _=None: _number(_away)(x)),
+    "ceil": (1, 1, _number(_whole(F.ceil))), "floor": (1, 1, _number(_whole(F.floor))), "round": (1, 2, lambda x, _=None: _number(_whole(_away))(x)),
     "sqrt": (1, 1, _number(F.sqrt)), "exp": (1, 1, _number(F.exp)), "log": (1, 1, _number(_log(F.ln))), "log10": (1, 1, _number(_log(F.log10))),
     "e": (0, 0, lambda: Typed(F.e(), "float")), "pi": (0, 0, lambda: Typed(F.pi(), "float")), "rand": (0, 0, lambda: Typed(F.rand(), "float")),
     "substring": (2, 3, _text(lambda s, a, n=None: F.substring(s, a.cast("int") + 1, F.length(s) if n is None else n.cast("int")))),
@@ -310,8 +322,37 @@ def call(name: str, args: list[Typed]) -> Typed:
     return f(*args)
 
 
-def aggregate(name: str, x: Typed | None, distinct: bool, extra: Typed | None, order: list[Column]) -> Typed:
-    """An aggregate over a group; ``x`` is None for count(*)."""
+def in_order(packed: Column, order: list[tuple[Column, bool]]) -> Column:
+    """Structs with keys k0, k1, ... sorted: ascending with nulls last, descending with nulls first."""
+    downs = [down for _, down in order]
+    if not any(downs):
+        return F.sort_array(packed)
+    if all(downs):
+        return F.reverse(F.sort_array(packed))
+
+    def compare_(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for i, down in reversed(list(enumerate(downs))):
+            x, y = a[f"k{i}"], b[f"k{i}"]
+            less, more = (1, -1) if down else (-1, 1)
+            out = F.when(x < y, less).when(x > y, more).otherwise(out)
+        return out
+
+    return F.array_sort(packed, compare_)
+
+
+def of_nothing(name: str, t) -> Column:
+    """What an aggregate gives for no rows."""
+    from quiltgraph.sources.catalog import spark_type
+
+    low = name.lower()
+    if low in ("count*", "count", "sum", "stdev", "stdevp"):
+        return F.lit(0).cast(spark_type(t))
+    return F.array().cast(spark_type(t)) if low == "collect" else F.lit(None).cast(spark_type(t))
+
+
+def aggregate(name: str, x: Typed | None, distinct: bool, extra: Typed | None, order: list[tuple[Column, bool]]) -> Typed:
+    """An aggregate over a group; ``x`` is None for count(*). Percentiles, and deviations of DISTINCT, hold a group's (distinct) values in an array."""
     low = name.lower()
     if x is None:
         return Typed(F.count(F.lit(1)), "int")
@@ -323,8 +364,8 @@ def aggregate(name: str, x: Typed | None, distinct: bool, extra: Typed | None, o
             items = F.collect_set(c)
             return Typed(F.sort_array(items), ("list", x.t))
         if order:
-            keys = [k.alias(f"k{i}") for i, k in enumerate(order)]
-            packed = F.sort_array(F.collect_list(F.when(c.isNotNull(), F.struct(*keys, c.alias("x")))))
+            keys = [F.struct(k.isNull().alias("none"), k.alias("key")).alias(f"k{i}") for i, (k, _) in enumerate(order)]
+            packed = in_order(F.collect_list(F.when(c.isNotNull(), F.struct(*keys, c.alias("x")))), order)
             return Typed(F.transform(packed, lambda s: s["x"]), ("list", x.t))
         return Typed(F.collect_list(c), ("list", x.t))
     if low in ("min", "max"):
@@ -341,12 +382,21 @@ def aggregate(name: str, x: Typed | None, distinct: bool, extra: Typed | None, o
         return Typed((F.sum_distinct(c) / F.count_distinct(c) if distinct else F.avg(c)).cast("double"), "float")
     if low in ("stdev", "stdevp"):
         if distinct:
-            raise semantic("InvalidAggregation", f"DISTINCT isn't supported in {name}")
+            items = F.transform(F.collect_set(c), lambda v: v.cast("double"))
+            n = F.size(items)
+            mean = F.aggregate(items, F.lit(0.0), lambda s, v: s + v) / n
+            squares = F.aggregate(F.transform(items, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda s, v: s + v)
+            return Typed(F.when(n > 1, F.sqrt(squares / (n - 1 if low == "stdev" else n))).otherwise(0.0), "float")
         return Typed(F.coalesce((F.stddev_samp if low == "stdev" else F.stddev_pop)(c), F.lit(0.0)), "float")
     if extra is None:
         raise semantic("InvalidNumberOfArguments", f"{name} takes 2 arguments")
     if not 0 <= _constant(extra) <= 1:
         raise QueryError("ArgumentError", "NumberOutOfRange", f"{name} takes a share from 0 to 1", "Runtime")
+    if low == "percentilecont" and distinct:
+        items = F.array_sort(F.collect_set(c))
+        at = F.lit(_constant(extra)) * (F.size(items) - 1)
+        a, b = (F.get(items, f(at).cast("int")).cast("double") for f in (F.floor, F.ceil))
+        return Typed(a + (b - a) * (at - F.floor(at)), "float")
     if low == "percentilecont":
         return Typed(F.percentile(c, extra.col), "float")
     items = F.array_sort(F.collect_set(c) if distinct else F.collect_list(c))

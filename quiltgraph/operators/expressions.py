@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import functions as F
 
 from quiltgraph.errors import QueryError, mistyped, nearest, semantic
 from quiltgraph.functions import scalar, temporal
 from quiltgraph.functions.types import Typed, all_of, is_list, joined, null
 from quiltgraph.operators.scope import Node, Path, Rel, Scope, Value
-from quiltgraph.plans.parser import walk
 
 
 def literal(v) -> Typed:
@@ -52,8 +53,24 @@ def is_aggregate(e) -> bool:
     return e[0] == "count*" or e[0] == "call" and e[1].lower() in scalar.AGGREGATES
 
 
+SUBQUERIES = ("pattern", "exists", "existsq", "patcomp")
+
+
+def aggregates_of(e) -> Iterator[tuple]:
+    """The aggregates of an expression's own rows; what subqueries aggregate is their affair."""
+    if not isinstance(e, (tuple, list)):
+        return
+    if e and isinstance(e[0], str):
+        if e[0] in SUBQUERIES:
+            return
+        if e[0] in ("count*", "call") and is_aggregate(e):
+            yield e
+    for x in e:
+        yield from aggregates_of(x)
+
+
 def has_aggregate(e) -> bool:
-    return e is not None and any(is_aggregate(x) for x in walk(e) if x and isinstance(x[0], str) and x[0] in ("count*", "call"))
+    return next(aggregates_of(e), None) is not None
 
 
 class Expressions:

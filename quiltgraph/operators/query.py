@@ -8,20 +8,19 @@ MATCH and pattern comprehensions join what was found back on them, nulls being e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiltgraph.errors import QueryError, semantic
 from quiltgraph.functions import scalar
 from quiltgraph.functions.types import Typed
 from quiltgraph.operators import fulltext, writes
-from quiltgraph.operators.expressions import Expressions, has_aggregate, is_aggregate
+from quiltgraph.operators.expressions import SUBQUERIES, Expressions, aggregates_of, has_aggregate, is_aggregate
 from quiltgraph.operators.patterns import Matcher
 from quiltgraph.operators.scope import Node, Path, Rel, Scope, Value, fresh, null_safe
 from quiltgraph.plans.parser import walk
 from quiltgraph.sources.catalog import Graph, spark_type
 
-SUBQUERIES = ("pattern", "patcomp", "exists", "existsq")
 
 
 def names_in(e) -> set[str]:
@@ -48,6 +47,7 @@ def properties_read(clauses) -> dict[str, set | None]:
     """What the query reads of each variable: property names, or None for all of it."""
     used: dict[str, set | None] = {}
     same: list[tuple[str, str]] = []
+    lists: set[str] = set()
 
     def add(name: str, key: str | None) -> None:
         if key is None or used.get(name, set()) is None:
@@ -106,6 +106,10 @@ def properties_read(clauses) -> dict[str, set | None]:
             if e[1] and e[2]:
                 add(e[1], "_labels")
         elif kind == "rel":
+            if e[1] and e[4] is not None:  # a list that is walked again is needed whole
+                if e[1] in lists:
+                    add(e[1], None)
+                lists.add(e[1])
             for k, x in e[6] if e[6] and e[6][0] != "param" else ():
                 if e[1]:
                     add(e[1], k)
@@ -290,16 +294,17 @@ class Query:
         if any(c[0] in ("create", "merge", "set", "remove", "delete") for c in clauses):
             raise semantic("InvalidClauseComposition", "updates aren't allowed in EXISTS")
         q = Query(self.spark, self.graph, self.params, self.procedures, properties_read(clauses) | {n: None for n in outer}, dict(outer), seed, self.trace)
-        q.carried = keys
+        q.carried, q.seed = keys, seed
         for c in clauses:
             if c[0] == "return":
-                if any(has_aggregate(x) for x, _, _ in c[3]):
-                    q.on_with(*c[1:], None)
+                if any(has_aggregate(x) for x, _, _ in c[3]) or c[5] is not None or c[6] is not None:
+                    q.project(*c[1:], None)
                 continue
             getattr(q, f"on_{c[0]}")(*c[1:])
         return q.rows()
 
     carried: list[str] = []
+    seed: DataFrame | None = None
 
     def filter(self, e) -> None:
         """WHERE: conjuncts that are subqueries become semi or anti joins."""
@@ -364,7 +369,7 @@ class Query:
 
     def project(self, distinct, star, items, order, skip, limit, where) -> None:
         self.rows()
-        items = (self.star_items() if star else []) + items
+        items = [*(self.star_items() if star else []), *items]
         names = [n for _, n, _ in items]
         if len(set(names)) != len(names):
             raise semantic("ColumnNameConflict", "two columns have one name")
@@ -399,12 +404,20 @@ class Query:
                 added[c] = x.col if x.t not in ("dt", "time") else Expressions.part(x, "epochMillis").col if x.t == "dt" else x.col["nanos"]
                 keys.append(F.col(c).desc_nulls_first() if down else F.col(c).asc_nulls_last())
                 self.sorted_by.append((c, down, x.t))
-            self.df = self.df.withColumns(added).orderBy(*keys)
+            self.df = self.df.withColumns(added)
+            if not self.carried:
+                self.df = self.df.orderBy(*keys)
             self.trace.append("Sort")
-        if skip is not None:
-            self.df = self.df.offset(self.constant(skip, "SKIP"))
-        if limit is not None:
-            self.df = self.df.limit(self.constant(limit, "LIMIT"))
+        if self.carried and (skip is not None or limit is not None):  # of each outer row, not of all together
+            place, low = fresh("place"), self.constant(skip, "SKIP") if skip is not None else 0
+            window = Window.partitionBy(*self.carried).orderBy(*(keys if order else [F.lit(1)]))
+            ranked = self.df.withColumn(place, F.row_number().over(window)).where(F.col(place) > low)
+            self.df = (ranked if limit is None else ranked.where(F.col(place) <= low + self.constant(limit, "LIMIT"))).drop(place)
+        elif skip is not None or limit is not None:
+            if skip is not None:
+                self.df = self.df.offset(self.constant(skip, "SKIP"))
+            if limit is not None:
+                self.df = self.df.limit(self.constant(limit, "LIMIT"))
         if where is not None:
             if has_aggregate(where):
                 raise semantic("InvalidAggregation", "an aggregate in WHERE")
@@ -434,7 +447,7 @@ class Query:
 
     def aggregate(self, items, order) -> tuple[dict, Scope]:
         keys = [(e, n) for e, n, _ in items if not has_aggregate(e)]
-        wanted = dict.fromkeys(x for e in [*(e for e, _, _ in items), *order] for x in walk(e) if x and isinstance(x[0], str) and x[0] in ("call", "count*") and is_aggregate(x))
+        wanted = dict.fromkeys(x for e in [*(e for e, _, _ in items), *order] for x in aggregates_of(e))
         for a in wanted:
             if any(has_aggregate(x) for x in a[2:] if isinstance(x, tuple)) and any(has_aggregate(y) for y in a[2]):
                 raise semantic("NestedAggregation", "an aggregate inside an aggregate")
@@ -459,7 +472,7 @@ class Query:
             self.check_leaves(e, keys, extra)
         order_columns = self.collect_order()
         df = self.df.withColumns(added) if added else self.df
-        made, results = [], {}
+        made, named, results = [], [], {}
         for a in wanted:
             c = fresh("agg")
             if a[0] == "count*":
@@ -475,12 +488,17 @@ class Query:
                 x = scalar.aggregate(a[1], x0, a[3], evaluate(a[2][1]) if len(a[2]) > 1 else None, order_columns)
                 if a[1].lower() == "collect" and not a[3] and not order_columns and not (isinstance(x0.t, tuple) and x0.t[0] == "map"):
                     x = Typed(F.sort_array(x.col), x.t)
-                if a[1].lower() == "collect" and self.sorted_by and all(d for _, d, _ in self.sorted_by) and order_columns and not a[3]:
-                    x = Typed(F.reverse(x.col), x.t)
             made.append(x.col.alias(c))
+            named.append(c)
             results[a] = Typed(F.col(c), x.t)
+        alone = not group and bool(made)
         group = list(dict.fromkeys([*self.carried, *group]))
         self.df = (df.groupBy(*group).agg(*made) if group else df.agg(*made)) if made else df.select(*group).distinct()
+        if alone and self.carried:  # one row for each outer row, also where nothing was found
+            mark = fresh("mark")
+            right = self.df.select(*(F.col(k).alias(k + "_r") for k in self.carried), *(c.col for c in results.values()), F.lit(True).alias(mark))
+            empty = {name: F.when(F.col(mark), x.col).otherwise(scalar.of_nothing(a[1] if a[0] == "call" else a[0], x.t)) for (a, x), name in zip(results.items(), named)}
+            self.df = self.seed.join(right, null_safe(self.carried, "_r"), "left").withColumns(empty).drop(mark, *(k + "_r" for k in self.carried))
         extra |= results
         old, self.scope = self.scope, dict(scope)
         last = {}
@@ -499,13 +517,8 @@ class Query:
         return extra, scope
 
     def collect_order(self) -> list:
-        """Columns that put a group's rows in the order of the last ORDER BY, where ascending columns can."""
-        kept = [(c, d, t) for c, d, t in self.sorted_by if c in self.df.columns]
-        if not kept or all(not d for _, d, _ in kept) or all(d for _, d, _ in kept):
-            return [F.col(c) for c, _, _ in kept]
-        if all(not d or t in ("int", "float") for _, d, t in kept):
-            return [-F.col(c) if d else F.col(c) for c, d, _ in kept]
-        return []
+        """Columns, and whether they descend, that put a group's rows in the order of the last ORDER BY."""
+        return [(F.col(c), d) for c, d, _ in self.sorted_by if c in self.df.columns]
 
     def check_leaves(self, e, keys, extra) -> None:
         """Non-aggregated parts of an aggregating item must be grouping keys."""

@@ -127,6 +127,11 @@ def create(q, patterns) -> None:
     q.trace.append("Create")
 
 
+def changed(table, **more):
+    """A new version of a table; the shortcut to the source's rows no longer holds."""
+    return replace(table, by_key=None, **more)
+
+
 def _updated(table, changes: DataFrame, values: dict[str, Typed], keep) -> object:
     """A table with new property values for the ids of ``changes`` (_k, columns)."""
     types = dict(table.types)
@@ -142,7 +147,7 @@ def _updated(table, changes: DataFrame, values: dict[str, Typed], keep) -> objec
         kind = spark_type(types[p])
         columns[p] = F.when(F.col("_k").isNotNull(), x.col.cast(kind)).otherwise(old.cast(kind))
     df = table.df.join(changes, table.df["_id"] == changes["_k"], "left").withColumns(columns)
-    return replace(table, df=df.select(*keep, *types), types=types)
+    return changed(table, df=df.select(*keep, *types), types=types)
 
 
 def _assign(q, name: str, values: dict[str, Typed], clear: bool = False) -> None:
@@ -173,12 +178,13 @@ def _assign(q, name: str, values: dict[str, Typed], clear: bool = False) -> None
     q.scope[name] = replace(b, props=kept | {p: (c, x.t) for c, (p, x) in columns.items()})
 
 
-def _relabel(q, name: str, labels, add: bool) -> None:
+def _relabel(q, name: str, labels, add: bool, only: F.Column | None = None) -> None:
+    """Adds or removes labels of a bound node, in the rows where ``only`` holds."""
     b = q.scope.get(name)
     if not isinstance(b, Node):
         raise semantic("VariableTypeConflict", f"{name} is not a node")
     q.df = checkpointed(q.df)
-    ids = q.df.select(F.col(b.id).alias("_k")).where("_k is not null").distinct()
+    ids = (q.df if only is None else q.df.where(only)).select(F.col(b.id).alias("_k")).where("_k is not null").distinct()
     names = F.array(*(F.lit(x) for x in labels))
     out = []
     for t in q.graph.nodes:
@@ -187,12 +193,13 @@ def _relabel(q, name: str, labels, add: bool) -> None:
             continue
         change = F.array_sort(F.array_union("_labels", names)) if add else F.array_except("_labels", names)
         df = t.df.join(ids, t.df["_id"] == ids["_k"], "left").withColumn("_labels", F.when(F.col("_k").isNotNull(), change).otherwise(F.col("_labels"))).drop("_k")
-        out.append(replace(t, df=df, may=t.may | set(labels) if add else t.may, always=t.always if add else t.always - set(labels)))
+        out.append(changed(t, df=df, may=t.may | set(labels) if add else t.may, always=t.always if add else t.always - set(labels)))
     q.graph.nodes = out
     fresh_labels = fresh("labels")
     have = F.col(b.labels) if b.labels else F.array(*(F.lit(x) for x in sorted(b.static))).cast("array<string>")
-    q.df = q.df.withColumn(fresh_labels, F.array_sort(F.array_union(have, names)) if add else F.array_except(have, names))
-    q.scope[name] = replace(b, labels=fresh_labels, static=b.static | set(labels) if add else b.static - set(labels))
+    change = F.array_sort(F.array_union(have, names)) if add else F.array_except(have, names)
+    q.df = q.df.withColumn(fresh_labels, change if only is None else F.when(only, change).otherwise(have))
+    q.scope[name] = replace(b, labels=fresh_labels, static=b.static if add and only is not None else b.static | set(labels) if add else b.static - set(labels))
 
 
 def set_items(q, items) -> None:
@@ -238,14 +245,15 @@ def delete(q, expressions, detach: bool) -> None:
             edges = ids if edges is None else edges.union(ids).distinct()
     drop = lambda df, ids, c: df.join(ids, df[c] == ids["_k"], "left_anti")
     if edges is not None:
-        q.graph.edges = [replace(t, df=drop(t.df, edges, "_id")) for t in q.graph.edges]
+        q.graph.edges = [changed(t, df=drop(t.df, edges, "_id")) for t in q.graph.edges]
     if nodes is not None:
         if not detach:
             for t in q.graph.edges:
-                if not t.df.join(nodes, (F.col("_src") == F.col("_k")) | (F.col("_dst") == F.col("_k")), "left_semi").isEmpty():
-                    raise QueryError("ConstraintViolation", "DeleteConnectedNode", "a deleted node still has relationships", "Runtime")
-        q.graph.edges = [replace(t, df=drop(drop(t.df, nodes, "_src"), nodes, "_dst")) for t in q.graph.edges]
-        q.graph.nodes = [replace(t, df=drop(t.df, nodes, "_id")) for t in q.graph.nodes]
+                for end in ("_src", "_dst"):  # two equi-joins; an OR of both would be a nested loop
+                    if not t.df.select(end).join(nodes, F.col(end) == F.col("_k"), "left_semi").isEmpty():
+                        raise QueryError("ConstraintViolation", "DeleteConnectedNode", "a deleted node still has relationships", "Runtime")
+        q.graph.edges = [changed(t, df=drop(drop(t.df, nodes, "_src"), nodes, "_dst")) for t in q.graph.edges]
+        q.graph.nodes = [changed(t, df=drop(t.df, nodes, "_id")) for t in q.graph.nodes]
     q.trace.append("Delete")
 
 
@@ -287,9 +295,7 @@ def _split_set(q, name: str, items, created: F.Column, flag: bool) -> None:
     """ON CREATE and ON MATCH: values where the row was (not) created, the old ones elsewhere."""
     for item in items:
         if item[0] == "label":
-            keep, q.df = q.df, q.df.where(created if flag else ~created)
-            _relabel(q, item[1], item[2], True)
-            q.df = keep
+            _relabel(q, item[1], item[2], True, created if flag else ~created)
             continue
         b = q.scope[item[1]]
         value = item[3] if item[0] == "prop" else item[2]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quiltgraph.session import GraphSession
 from quiltgraph.sources.tables import star_graph
@@ -300,10 +301,96 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         "MATCH (d:Document)  RETURN labels(d) AS l, size(keys(d)) AS k, count(*) AS n",
         "SELECT CASE WHEN l.doc_id IS NULL THEN ['Document'] ELSE ['Document', 'Labeled'] END AS l, CAST(CASE WHEN l.doc_id IS NULL THEN 5 ELSE 7 END AS BIGINT) AS k, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1, 2",
     ),
+    "exists_limit": (
+        "MATCH (c:Customer) WHERE EXISTS { MATCH (c)-[:PLACED]->(o:Order) WITH o ORDER BY o.totalprice DESC, o.orderkey SKIP 1 LIMIT 2 WHERE o.status = 'F' RETURN o } RETURN count(*) AS n",
+        "SELECT count(DISTINCT o_custkey) AS n FROM (SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS i FROM orders) WHERE i IN (2, 3) AND o_orderstatus = 'F'",
+    ),
+    "exists_skip": (
+        "MATCH (c:Customer) WHERE EXISTS { MATCH (c)-[:PLACED]->(o:Order) RETURN o SKIP 11 } RETURN count(*) AS n",
+        "SELECT count(*) AS n FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 11)",
+    ),
+    "exists_count_zero": (
+        "MATCH (p:Part) WHERE EXISTS { MATCH (p)<-[:CONTAINS]-(o:Order {status: 'P'}) WITH count(o) AS n WHERE n = 0 RETURN n } RETURN count(*) AS n",
+        "SELECT count(*) AS n FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey = p_partkey AND o_orderstatus = 'P')",
+    ),
+    "exists_aggregate": (
+        "MATCH (c:Customer) RETURN EXISTS { MATCH (c)-[:PLACED]->(o:Order) WITH sum(o.totalprice) AS total, count(o) AS k WHERE total > 200000 * k RETURN k } AS dear, count(*) AS n",
+        "SELECT coalesce(t > 200000 * k, false) AS dear, count(*) AS n FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS t, count(*) AS k FROM orders GROUP BY 1) ON o_custkey = c_custkey GROUP BY 1",
+    ),
+    "collect_mixed_order": (
+        "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WHERE c.custkey < 300 WITH n, c ORDER BY c.mktsegment DESC, c.custkey RETURN n.name AS nation, collect(c.custkey) AS l",
+        "SELECT n_name AS nation, list(c_custkey ORDER BY c_mktsegment DESC, c_custkey) AS l FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 300 GROUP BY 1",
+    ),
+    "collect_null_order": (
+        "MATCH (d:Document) WHERE d.doc_id < 300 WITH d ORDER BY d.quality, d.doc_id RETURN d.lang AS lang, collect(d.doc_id) AS l",
+        "SELECT lang, list(doc_id ORDER BY quality NULLS LAST, doc_id) AS l FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id < 300 GROUP BY 1",
+    ),
+    "agg_percentile_distinct": (
+        "MATCH (:Order)-[c:CONTAINS]->(:Part) RETURN c.returnflag AS f, percentileCont(DISTINCT c.quantity, 0.3) AS p, round(stDev(DISTINCT c.quantity) * 1000) AS s",
+        "SELECT l_returnflag AS f, quantile_cont(q, 0.3) AS p, round(stddev_samp(q) * 1000) AS s FROM (SELECT DISTINCT l_returnflag, l_quantity AS q FROM lineitem) GROUP BY 1",
+    ),
+    "rounding": (
+        "UNWIND [0.49999999999999994, 0.5, -2.5, 4503599627370497.0, 2.4] AS x RETURN x, round(x) AS r, floor(x) AS f, ceil(x) AS c",
+        "SELECT * FROM (VALUES (0.49999999999999994::DOUBLE, 0::DOUBLE, 0::DOUBLE, 1::DOUBLE), (0.5, 1, 0, 1), (-2.5, -3, -3, -2), (4503599627370497.0, 4503599627370497.0, 4503599627370497.0, 4503599627370497.0), (2.4, 2, 2, 3)) v(x, r, f, c)",
+    ),
+    "bound_relationship": (
+        "MATCH (n:Nation)-[r:IN_REGION]->(g:Region {regionkey: 1}) WITH r MATCH (a)-[r]->(b) RETURN a.name AS a, b.name AS b, type(r) AS t",
+        "SELECT n_name AS a, r_name AS b, 'IN_REGION' AS t FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 1",
+    ),
+    "bound_relationship_list": (
+        "MATCH (a:Turn {turn: 0, conv_id: 3})-[rs:NEXT*2]->() WITH rs MATCH (x)-[rs*]->(y) RETURN x.turn AS x, y.turn AS y, size(rs) AS n",
+        "SELECT CAST(0 AS BIGINT) AS x, CAST(2 AS BIGINT) AS y, CAST(2 AS BIGINT) AS n FROM conversations WHERE conv_id = 3 AND turn = 2",
+    ),
+    "return_star": (
+        "MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH n.name AS nation, r.name AS region WITH * WHERE nation < 'G' RETURN *",
+        "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name < 'G'",
+    ),
+    "null_bound_match": (
+        "MATCH (n:Nation) OPTIONAL MATCH (n)<-[:IN_NATION]-(s:Supplier) WHERE s.acctbal > 9000 WITH n, s MATCH (s)<-[:SUPPLIED_BY]-(o:Order) RETURN n.name AS nation, count(o) AS orders",
+        "SELECT n_name AS nation, count(*) AS orders FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey WHERE s_acctbal > 9000 GROUP BY 1",
+    ),
+    "properties_map": (
+        "MATCH (r:Region) WITH properties(r) AS m RETURN m.name AS name, m.regionkey AS k, exists(m.name) AS has",
+        "SELECT r_name AS name, CAST(r_regionkey AS BIGINT) AS k, true AS has FROM region",
+    ),
+    "log_functions": (
+        "MATCH (p:Part) WHERE p.partkey < 50 RETURN p.partkey AS k, round(exp(p.size / 10.0) * 1000) AS e, round(log(p.retailprice) * 1000) AS l, round(log10(p.retailprice) * 1000) AS g, round((pi() + e()) * 1000) AS c",
+        "SELECT p_partkey AS k, round(exp(p_size / 10.0) * 1000) AS e, round(ln(p_retailprice) * 1000) AS l, round(log10(p_retailprice) * 1000) AS g, 5860::DOUBLE AS c FROM part WHERE p_partkey < 50",
+    ),
+    "from_epoch": (
+        "UNWIND [0, 1700000000, -1] AS s WITH datetime.fromepoch(s, 0) AS d, datetime.fromepochmillis(s * 1000) AS m RETURN d.year AS y, d.month AS mo, d.second AS s, d = m AS same",
+        "SELECT * FROM (VALUES (1970::BIGINT, 1::BIGINT, 0::BIGINT, true), (2023, 11, 20, true), (1969, 12, 59, true)) v(y, mo, s, same)",
+    ),
+    "duration_between": (
+        "MATCH (o:Order) WHERE o.orderkey < 200 WITH o.orderkey AS k, duration.between(date('1992-01-01'), date(o.orderdate)) AS d RETURN k, d.years AS y, d.monthsOfYear AS m, d.days AS days",
+        "SELECT k, CAST(m // 12 AS BIGINT) AS y, CAST(m % 12 AS BIGINT) AS m, CAST(date_diff('day', DATE '1992-01-01' + to_months(CAST(m AS INTEGER)), d) AS BIGINT) AS days FROM (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, datesub('month', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS m FROM orders WHERE o_orderkey < 200)",
+    ),
+    "iso_text": (
+        "MATCH (o:Order) WHERE o.orderkey < 200 RETURN o.orderkey AS k, toString(date(o.orderdate)) AS d, toString(date(toString(date(o.orderdate))) + duration('P1M')) AS later",
+        "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH, '%Y-%m-%d') AS later FROM orders WHERE o_orderkey < 200",
+    ),
+    "time_zones": (
+        "UNWIND [1, 7] AS m WITH datetime({year: 2024, month: m, day: 1, hour: 12, timezone: 'Europe/Paris'}) AS d RETURN d.month AS m, d.offset AS o, d.epochSeconds AS s",
+        "SELECT * FROM (VALUES (1::BIGINT, '+01:00', 1704106800::BIGINT), (7, '+02:00', 1719828000)) v(m, o, s)",
+    ),
+    "duration_arithmetic": (
+        "UNWIND [1, 2, 3] AS k WITH k, duration({days: 1, hours: 12}) * k + duration('PT30M') AS d RETURN k, d.days AS days, d.minutes AS minutes",
+        "SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 750::BIGINT), (2, 2, 1470), (3, 3, 2190)) v(k, days, minutes)",
+    ),
 }
 
 #: name: (updates in order, a query on the updated graph, SQL).
 UPDATES: dict[str, tuple[list[str], str, str]] = {
+    "merge_labels_view": (
+        ["UNWIND [1, 2, 900001] AS k MERGE (s:Supplier {suppkey: k}) ON CREATE SET s:New ON MATCH SET s:Known"],
+        "MATCH (s:Supplier) WHERE s:New OR s:Known RETURN s.suppkey AS k, labels(s) AS l",
+        "SELECT * FROM (VALUES (1::BIGINT, ['Known', 'Supplier']), (2, ['Known', 'Supplier']), (900001, ['New', 'Supplier'])) v(k, l)",
+    ),
+    "plain_delete_view": (
+        ["CREATE (:Supplier {suppkey: 900002}), (:Supplier {suppkey: 900003})", "MATCH (s:Supplier) WHERE s.suppkey = 900002 DELETE s"],
+        "MATCH (s:Supplier) RETURN count(*) AS n, max(s.suppkey) AS k",
+        "SELECT count(*) + 1 AS n, CAST(900003 AS BIGINT) AS k FROM supplier",
+    ),
     "merge_upsert_view": (
         ["UNWIND [1, 2, 2, 900001] AS k MERGE (s:Supplier {suppkey: k}) ON CREATE SET s.name = 'new', s.acctbal = 0.0 ON MATCH SET s.name = 'seen'"],
         "MATCH (s:Supplier) WHERE s.name IN ['new', 'seen'] RETURN s.suppkey AS k, s.name AS name",
@@ -353,8 +440,6 @@ def _updated(updates: list[str], text: str) -> Callable[[SparkSession, str], Dat
 
 def traverse(spark: SparkSession, folder: str) -> DataFrame:
     """Reachable nodes by least depth, through the typed interface."""
-    from pyspark.sql import functions as F
-
     graph = star_graph(spark, folder)
     start = spark.range(1).select(graph.global_id("Turn", F.lit(0))).head()[0]
     return GraphSession(spark, graph).traverse(start, "NEXT").groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
@@ -363,6 +448,29 @@ def traverse(spark: SparkSession, folder: str) -> DataFrame:
 TRAVERSE_SQL = "SELECT CAST(turn AS INTEGER) AS depth, count(*) AS n FROM conversations WHERE conv_id = 0 AND turn > 0 GROUP BY 1"
 
 
+def equal_edge_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges over rows that repeat: each is an edge of its own."""
+    graph = star_graph(spark, folder)
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_returnflag").join(spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    graph.edge("BOUGHT", lines.select("o_custkey", "l_orderkey"), ("Customer", "o_custkey"), ("Order", "l_orderkey"))
+    text = "MATCH (c:Customer)-[r:BOUGHT]->(o:Order)<-[q:BOUGHT]-(d:Customer) WHERE o.orderkey < 300 RETURN o.orderkey AS o, count(*) AS pairs, count(DISTINCT r) AS edges"
+    return GraphSession(spark, graph).query(text)
+
+
+EQUAL_EDGE_ROWS_SQL = "SELECT l_orderkey AS o, count(*) * (count(*) - 1) AS pairs, count(*) AS edges FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey < 300 GROUP BY 1 HAVING count(*) > 1"
+
+
+def point_reads(spark: SparkSession, folder: str) -> DataFrame:
+    """The typed reads of one node: its row, its neighbours, and an edge by its id."""
+    graph = star_graph(spark, folder)
+    session, node = GraphSession(spark, graph), graph.id_of("Customer", 7)
+    near = session.neighbors(node, "PLACED").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("edge").alias("edges"))
+    return session.get_node(node).select("name").crossJoin(near)  # a row each
+
+
+POINT_READS_SQL = "SELECT c_name AS name, count(o_orderkey) AS n, count(o_orderkey) AS edges FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey = 7 GROUP BY 1"
+
+
 def explain(spark: SparkSession, folder: str) -> DataFrame:
     return GraphSession(spark, star_graph(spark, folder)).query("EXPLAIN MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.totalprice > 5 RETURN c.name AS n, count(*) AS k ORDER BY k")
 
@@ -370,9 +478,9 @@ def explain(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _query(text) for name, (text, _) in QUERIES.items()}
     out |= {name: _updated(updates, text) for name, (updates, text, _) in UPDATES.items()}
-    return out | {"traverse": traverse, "explain": explain}
+    return out | {"traverse": traverse, "equal_edge_rows": equal_edge_rows, "point_reads": point_reads, "explain": explain}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: sql for name, (_, sql) in QUERIES.items() if sql}
-    return out | {name: sql for name, (_, _, sql) in UPDATES.items()} | {"traverse": TRAVERSE_SQL}
+    return out | {name: sql for name, (_, _, sql) in UPDATES.items()} | {"traverse": TRAVERSE_SQL, "equal_edge_rows": EQUAL_EDGE_ROWS_SQL, "point_reads": POINT_READS_SQL}

@@ -104,16 +104,15 @@ class GraphSession:
         return self.graph.scan([label])[0]
 
     def get_node(self, node_id: int) -> DataFrame:
-        return self.graph.scan()[0].where(F.col("_id") == node_id)
+        return self.graph.with_id(node_id)[0]
 
     def get_edge(self, edge_id: int) -> DataFrame:
         return self.graph.edge_scan(self.graph.edges)[0].where(F.col("_id") == edge_id)
 
     def neighbors(self, node_id: int, type_: str | None = None, direction: str = "out") -> DataFrame:
         """(neighbor, edge) ids, a row for each edge; a loop counts once when undirected."""
-        edges = self.graph.edge_scan([t for t in self.graph.edges if type_ in (None, t.type)])[0]
-        out = edges.where(F.col("_src") == node_id).select(F.col("_dst").alias("neighbor"), F.col("_id").alias("edge"))
-        into = edges.where(F.col("_dst") == node_id).select(F.col("_src").alias("neighbor"), F.col("_id").alias("edge"))
+        out = self.graph.edges_at(node_id, "_src", type_).select(F.col("_dst").alias("neighbor"), F.col("_id").alias("edge"))
+        into = self.graph.edges_at(node_id, "_dst", type_).select(F.col("_src").alias("neighbor"), F.col("_id").alias("edge"))
         return {"out": out, "in": into, "both": out.unionByName(into.where(F.col("neighbor") != node_id))}[direction]
 
     def traverse(self, start: int, type_: str | None = None, max_depth: int = 50, direction: str = "out") -> DataFrame:

@@ -1,16 +1,18 @@
 """The graph catalog: DataFrames registered as node labels and edge types.
 
 A node's id is its source's id times 64 plus the table's number, so sources with equal
-keys don't collide. An edge's id is a 64-bit hash of its row unless one is given.
+keys don't collide. An edge's id is a 64-bit hash of its row unless one is given; equal
+rows are edges of their own, told apart by a number among equals.
 The catalog is a value: changes give new tables, and a copy is a snapshot.
 """
 
 from __future__ import annotations
 
 import copy
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +31,7 @@ class NodeTable:
     always: frozenset
     may: frozenset
     types: dict[str, object]
+    by_key: Callable[[int], DataFrame] | None = None  # the same rows for one key, read through the source's own column
 
 
 @dataclass
@@ -40,6 +43,7 @@ class EdgeTable:
     src: str | None
     dst: str | None
     types: dict[str, object]
+    by_key: Callable[[str, int], DataFrame] | None = None  # the same rows for a key at an end (_src or _dst)
 
 
 @dataclass
@@ -72,6 +76,27 @@ class Graph:
     def global_id(self, name: str, key: Column) -> Column:
         return key.cast("bigint") * SLOTS + [t.name for t in self.nodes].index(name)
 
+    def id_of(self, name: str, key: int) -> int:
+        return key * SLOTS + [t.name for t in self.nodes].index(name)
+
+    def with_id(self, node_id: int) -> tuple[DataFrame, dict[str, object]]:
+        """The nodes with an id, from the one table that can hold them; a registered one is filtered by its own key, so that files are pruned."""
+        slot = node_id % SLOTS
+        tables = [t for k, t in enumerate(self.nodes) if (t.by_key is None or k == slot)]
+        narrowed = [replace(t, df=t.by_key(node_id // SLOTS) if t.by_key else t.df) for t in tables]
+        found, types = self.scan(tables=narrowed)
+        return found.where(F.col("_id") == node_id), types
+
+    def edges_at(self, node_id: int, end: str, type_: str | None = None) -> DataFrame:
+        """The edges whose ``end`` (_src or _dst) is a node, from tables that can hold them, by the source's own key."""
+        slot, out = node_id % SLOTS, []
+        names = [t.name for t in self.nodes]
+        for t in self.edges:
+            owner = t.src if end == "_src" else t.dst
+            if type_ in (None, t.type) and (t.by_key is None or names.index(owner) == slot):
+                out.append(replace(t, df=t.by_key(end, node_id // SLOTS) if t.by_key else t.df))
+        return self.edge_scan(out)[0].where(F.col(end) == node_id)
+
     def node(self, label: str, df: DataFrame, id_col: str, props: dict[str, str], extra: dict[str, Column] | None = None) -> Graph:
         """Registers ``df``: property names to its columns; ``extra`` labels hold where their conditions do."""
         if len(self.nodes) >= SLOTS - 1:
@@ -80,17 +105,28 @@ class Graph:
         for name, condition in (extra or {}).items():
             labels = F.when(condition, F.array_append(labels, F.lit(name))).otherwise(labels)
         kinds = {f.name: f.dataType for f in df.schema.fields}
-        made = df.select((F.col(id_col).cast("bigint") * SLOTS + len(self.nodes)).alias("_id"), F.array_sort(labels).alias("_labels"), *(widened(F.col(c), kinds[c]).alias(p) for p, c in props.items()))
-        self.nodes.append(NodeTable(label, made, frozenset([label]), frozenset([label, *(extra or {})]), {p: from_spark(kinds[c]) for p, c in props.items()}))
+        columns = [(F.col(id_col).cast("bigint") * SLOTS + len(self.nodes)).alias("_id"), F.array_sort(labels).alias("_labels"), *(widened(F.col(c), kinds[c]).alias(p) for p, c in props.items())]
+        by_key = lambda key: df.where(F.col(id_col) == key).select(*columns)
+        self.nodes.append(NodeTable(label, df.select(*columns), frozenset([label]), frozenset([label, *(extra or {})]), {p: from_spark(kinds[c]) for p, c in props.items()}, by_key))
         return self
 
-    def edge(self, type_: str, df: DataFrame, src: tuple[str, str], dst: tuple[str, str], props: dict[str, str] | None = None, edge_id: str | None = None) -> Graph:
-        """Registers ``df`` as edges between keys (label, column) of two node tables."""
+    def edge(self, type_: str, df: DataFrame, src: tuple[str, str], dst: tuple[str, str], props: dict[str, str] | None = None, edge_id: str | None = None, distinct_rows: bool = False) -> Graph:
+        """Registers ``df`` as edges between keys (label, column) of two node tables.
+
+        Without ``edge_id``, a column that tells edges apart, equal rows are numbered, which
+        costs a shuffle in queries that read the edges' ids; ``distinct_rows`` says that there are none.
+        """
         kinds = {f.name: f.dataType for f in df.schema.fields}
-        key = F.col(edge_id).cast("bigint") if edge_id else F.xxhash64(F.lit(len(self.edges)), *df.columns)
+        if edge_id:
+            key = F.col(edge_id).cast("bigint")
+        else:
+            names = list(df.columns)
+            twin = [] if distinct_rows else [F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1)))]
+            key = F.xxhash64(F.lit(len(self.edges)), *names, *twin)
         ends = [self.global_id(label, F.col(c)) for label, c in (src, dst)]
-        made = df.select(key.alias("_id"), ends[0].alias("_src"), ends[1].alias("_dst"), *(widened(F.col(c), kinds[c]).alias(p) for p, c in (props or {}).items()))
-        self.edges.append(EdgeTable(type_, made, src[0], dst[0], {p: from_spark(kinds[c]) for p, c in (props or {}).items()}))
+        columns = [key.alias("_id"), ends[0].alias("_src"), ends[1].alias("_dst"), *(widened(F.col(c), kinds[c]).alias(p) for p, c in (props or {}).items())]
+        by_key = lambda end, k: df.where(F.col(src[1] if end == "_src" else dst[1]) == k).select(*columns)
+        self.edges.append(EdgeTable(type_, df.select(*columns), src[0], dst[0], {p: from_spark(kinds[c]) for p, c in (props or {}).items()}, by_key))
         return self
 
     # Reading.
