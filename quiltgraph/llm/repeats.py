@@ -6,21 +6,23 @@ start anywhere else, in another text or in the same one.
 1. Windows are dealt by their minimizer: the leftmost least hash of the ``GRAM``-byte
    strings inside. Consecutive windows with one minimizer are a segment. Equal windows
    have equal minimizers, so a segment whose minimizer occurs once has no repeat.
-2. Segments that share a minimizer are compared by a hash of their bytes. Where a
-   minimizer has but one content, all its windows are repeated.
-3. Where it has several, one copy of each content goes to a run-length index of a
-   bounded number of contents: the Burrows-Wheeler transform kept as runs, with the text
+2. Segments that share a minimizer are compared by a hash of their bytes. Every window of
+   a content that occurs twice is repeated.
+3. One copy of each content of a minimizer that has several goes to a run-length index of
+   a bounded number of contents: the Burrows-Wheeler transform kept as runs, with the text
    positions at the runs' heads and tails and their common prefixes there. Streaming the
    text, matching statistics fall by one from each sample to the next; those of
-   ``least`` or more are repeats. Contents of a minimizer that together exceed ``MOST``
-   bytes are compared window by window, by a grouped count of 128-bit hashes, instead.
-4. Repeated windows become spans of bytes, merged for each text.
+   ``least`` or more are repeats.
+4. Contents of a minimizer that together exceed an index (``INDEXED`` bytes) are dealt again
+   by the minimizers of strings twice as long, through the same steps. With strings of
+   ``least`` bytes, windows that meet are equal, so this ends.
+5. Repeated windows become spans of bytes, merged for each text.
 
 Defined results: null text counts as empty; a text shorter than ``least`` has no window;
 repeated rows are texts of their own, so all of a long repeated row is a repeat; rows
 with a null doc_id are treated as others; texts of any length are read whole; an
-empty table gives an empty result. Equal 64-bit hashes of a minimizer and of a segment
-together count as equal bytes.
+empty table gives an empty result. A polynomial hash of a minimizer and XXH3 of a
+segment's bytes, 64 bits each and of different kinds, together count as equal bytes.
 """
 
 from __future__ import annotations
@@ -30,17 +32,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltgraph.llm.common import cut, drop_path, free_name, scratch_path
+from quiltgraph.llm.common import cut, drop_path, free_name, scratch_path, text_keys
 
 GRAM = 64
 CHUNK = 1 << 19  # bytes of a text hashed at a time
-MOST = 4 << 20  # bytes of contents of one minimizer in an index
-INDEXED = 1 << 20  # bytes of contents that one index takes, or one minimizer's
+INDEXED = 1 << 20  # bytes of contents that one index takes; the last minimizer's come on top
 
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -64,8 +66,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hashes:
     """Hashes of any substrings of some bytes, by prefix sums of a polynomial."""
 
-    def __init__(self, data: np.ndarray, base: int = _BASES[0]):
-        power, self.inverse = _powers(base, len(data) + 1)
+    def __init__(self, data: np.ndarray):
+        power, self.inverse = _powers(_BASE, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=self.sums[1:])
 
@@ -74,15 +76,11 @@ class Hashes:
         n = len(self.sums) - length
         return mix((self.sums[length:] - self.sums[:n]) * self.inverse[:n])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
-
-def segments(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: np.ndarray, least: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(minimizer, hash of the bytes, first window, number of windows) of each segment of up to 2 ** 20 bytes."""
-    gram = min(GRAM, least)
-    h = Hashes(data)
-    grams = h.all(gram)
+    gram = min(gram, least)
+    grams = Hashes(data).all(gram)
     width = least - gram + 1
     key = grams >> np.uint64(20) << np.uint64(20) | np.arange(len(grams), dtype=np.uint64)
     n = 1
@@ -94,7 +92,9 @@ def segments(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.n
     at = (key & np.uint64((1 << 20) - 1)).astype(np.int64)
     first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
     end = np.append(first[1:], len(at))
-    return grams[at[first]], h.of(first, end - 1 + least), first, end - first
+    raw = data.tobytes()
+    content = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), (end - 1 + least).tolist())], np.uint64)
+    return grams[at[first]], content, first, end - first
 
 
 class RunLengthIndex:
@@ -189,7 +189,7 @@ RUNS = "array<struct<first:int,last:int>>"
 RUNS_ARROW = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
-def _segment_rows(docs: DataFrame, least: int) -> DataFrame:
+def _segment_rows(docs: DataFrame, least: int, gram: int) -> DataFrame:
     """(minimizer, content, rid, start, windows) of every segment of ``docs`` (rid, text)."""
     names = ["minimizer", "content", "rid", "start", "windows"]
 
@@ -199,7 +199,7 @@ def _segment_rows(docs: DataFrame, least: int) -> DataFrame:
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid and len(text.as_buffer()) else np.zeros(0, np.uint8)
                 for a in range(0, len(data) - least + 1, CHUNK):
-                    m, c, first, count = segments(data[a : a + CHUNK + least - 1], least)
+                    m, c, first, count = segments(data[a : a + CHUNK + least - 1], least, gram)
                     out.append((m.view(np.int64), c.view(np.int64), np.full(len(m), rid), first + a, count))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], names=names)
@@ -233,25 +233,6 @@ def _indexed(pieces: DataFrame, least: int) -> DataFrame:
     return dealt.mapInArrow(run, f"minimizer long, content long, runs {RUNS}")
 
 
-def _counted(pieces: DataFrame, least: int) -> DataFrame:
-    """The same for minimizers of any number of contents: a count of hashed windows."""
-    names = ["h", "g", "minimizer", "content", "offset"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for m, c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                b = np.frombuffer(data.as_buffer(), np.uint8)
-                hashes = [Hashes(b, base).all(least).view(np.int64) for base in _BASES]
-                n = len(hashes[0])
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*hashes, np.full(n, m), np.full(n, c), np.arange(n))], names=names)
-
-    windows = pieces.select("minimizer", "content", "bytes").mapInArrow(run, "h long, g long, minimizer long, content long, offset long")
-    often = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    found = windows.join(often, ["h", "g"]).groupBy("minimizer", "content").agg(F.collect_list("offset").alias("offsets"))  # those of one segment
-    one = lambda o: F.struct(o.cast("int").alias("first"), o.cast("int").alias("last"))
-    return found.select("minimizer", "content", F.transform("offsets", one).alias("runs"))
-
-
 def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rid = F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
     return docs.withColumn(free_name(docs, "rid"), rid)
@@ -263,11 +244,10 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def repeated_spans(docs: DataFrame, least: int = 200) -> tuple[DataFrame, DataFrame, str]:
-    """For ``docs`` (rid, text): (rid, spans [start, end) with repeated bytes, unmerged), the texts of those rids, and a scratch folder."""
-    spark = docs.sparkSession
-    path = scratch_path(spark, "repeats")
-    _segment_rows(docs, least).write.parquet(f"{path}/segments")
+def repeated_windows(texts: DataFrame, least: int, gram: int, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rid, first, last): runs of repeated windows of ``texts`` (rid, text), and those of the texts that share a minimizer."""
+    spark = texts.sparkSession
+    _segment_rows(texts, least, gram).write.parquet(f"{path}/segments")
     every = spark.read.parquet(f"{path}/segments")
     # Cut, so that the join has a plain shuffle on either side, which Spark splits where a minimizer is very common.
     often = _stored(every.groupBy("minimizer").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("minimizer"), f"{path}/often")
@@ -280,20 +260,34 @@ def repeated_spans(docs: DataFrame, least: int = 200) -> tuple[DataFrame, DataFr
     places = shared.dropDuplicates(["rid", "start"])
 
     # Texts with a shared minimizer are all that is read from here on.
-    docs.join(places.select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"]).write.parquet(f"{path}/texts")
-    texts = spark.read.parquet(f"{path}/texts")
+    texts.join(places.select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"]).write.parquet(f"{path}/texts")
+    near = spark.read.parquet(f"{path}/texts")
     mixed = contents.where("contents > 1").select("minimizer", "content", "size", "one.*")
-    pieces = mixed.join(texts, "rid").select("minimizer", "content", "size", F.expr(f"substring(cast(text as binary), cast(start as int) + 1, cast(windows as int) + {least - 1})").alias("bytes"))
+    pieces = mixed.join(near.select("rid", "text"), "rid").select("minimizer", "content", "size", F.expr(f"substring(cast(text as binary), cast(start as int) + 1, cast(windows as int) + {least - 1})").alias("bytes"))
     pieces = _stored(pieces, f"{path}/pieces")
-    runs = _stored(_indexed(pieces.where(F.col("size") <= MOST), least).unionByName(_counted(pieces.where(F.col("size") > MOST), least)), f"{path}/runs")
+    fits = F.lit(gram >= least) | (F.col("size") <= INDEXED)
+    runs = _stored(_indexed(pieces.where(fits), least), f"{path}/runs")
+    if not pieces.where(~fits).isEmpty():
+        large = _stored(pieces.where(~fits).select("minimizer", "content", F.monotonically_increasing_id().alias("rid"), F.col("bytes").alias("text")), f"{path}/large")
+        found, _ = repeated_windows(large.select("rid", "text"), least, min(2 * gram, least), f"{path}/longer")
+        one = F.struct(F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
+        deeper = large.select("rid", "minimizer", "content").join(found, "rid").groupBy("minimizer", "content").agg(F.collect_list(one).alias("runs"))  # of one segment
+        runs = runs.unionByName(_stored(deeper, f"{path}/deeper"))
 
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("windows") - 1).cast("int").alias("last")))
     # One join of two plain shuffles again: a content with very many copies is split.
     verdicts = _stored(contents.select("minimizer", "content", "copies").join(runs, ["minimizer", "content"], "left"), f"{path}/verdicts")
     known = places.join(verdicts, ["minimizer", "content"])
-    span = lambda r: F.struct((F.col("start") + r["first"]).alias("start"), (F.col("start") + r["last"] + least).alias("end"))
-    found = known.select("rid", F.explode(F.transform(F.when(F.col("copies") > 1, whole).otherwise(F.col("runs")), span)).alias("span"))
-    return found.groupBy("rid").agg(F.collect_list("span").alias("spans")), texts, path
+    found = known.select("rid", "start", F.explode(F.when(F.col("copies") > 1, whole).otherwise(F.col("runs"))).alias("run"))
+    return found.select("rid", (F.col("start") + F.col("run.first")).alias("first"), (F.col("start") + F.col("run.last")).alias("last")), near
+
+
+def repeated_spans(docs: DataFrame, least: int = 200) -> tuple[DataFrame, DataFrame, str]:
+    """For ``docs`` (rid, text, ...): (rid, spans [start, end) with repeated bytes, unmerged), the rows of those rids, and a scratch folder."""
+    path = scratch_path(docs.sparkSession, "repeats")
+    found, near = repeated_windows(docs, least, GRAM, path)
+    span = F.struct(F.col("first").alias("start"), (F.col("last") + least).alias("end"))
+    return found.groupBy("rid").agg(F.collect_list(span).alias("spans")), near, path
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -350,16 +344,15 @@ def without(spans: list[tuple[int, int]], spared: list[tuple[int, int]]) -> list
     return out
 
 
-def remove_repeats(docs: DataFrame, least: int = 200, doc_id: str = "doc_id", text: str = "text", spared: str | None = None, spared_bytes: Callable[[str, list], list[tuple[int, int]]] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 200, doc_id: str = "doc_id", text: str = "text", spared: DataFrame | None = None, spared_bytes: Callable[[str, list], list[tuple[int, int]]] | None = None) -> DataFrame:
     """``docs`` without the repeated bytes of ``text``; a character goes only if all its bytes are repeats.
 
-    ``spared_bytes`` makes of a text and its value in the column ``spared``, which is the
-    same for equal texts, spans [start, end) of bytes that stay although they repeat.
+    ``spared`` has (h, g, spared) for texts, by :func:`text_keys`, in which something stays although
+    it repeats; ``spared_bytes`` makes of a text and that value spans [start, end) of bytes.
     """
     marked = _identified(docs, doc_id, text)
     rid = marked.columns[-1]
-    own = F.lit(None).cast("string") if spared is None else F.col(spared)
-    spans, texts, path = repeated_spans(marked.select(F.col(rid).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"), own.alias("spared")), least)
+    spans, texts, path = repeated_spans(marked.select(F.col(rid).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text")), least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,7 +371,12 @@ def remove_repeats(docs: DataFrame, least: int = 200, doc_id: str = "doc_id", te
                 out.append(_kept(data, s).decode())
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out, pa.string())], names=["rid", "text_left"])
 
-    changed = cut(texts.join(spans, "rid").select("rid", "text", "spans", "spared").mapInArrow(run, "rid long, text_left string"))
+    found = texts.join(spans, "rid")
+    if spared is None:
+        found = found.withColumn("spared", F.lit(None).cast("array<long>"))
+    else:
+        found = found.select("rid", "text", "spans", *text_keys("text")).join(spared, ["h", "g"], "left")
+    changed = cut(found.select("rid", "text", "spans", "spared").mapInArrow(run, "rid long, text_left string"))
     drop_path(docs.sparkSession, path)
     left = marked.join(changed.select(F.col("rid").alias(rid), F.col("text_left").alias(free_name(marked, "text_left"))), rid, "left")
     return left.withColumn(text, F.coalesce(left.columns[-1], text)).select(docs.columns)
