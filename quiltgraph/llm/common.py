@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,11 @@ def held_out(doc_id: str, folds: int, fold: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+def text_keys(text: str) -> list[Column]:
+    """Two hashes, h and g, that together tell texts apart."""
+    return [F.xxhash64(F.col(text)).alias("h"), F.xxhash64(F.lit("g"), F.col(text)).alias("g")]
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Removes a scratch folder that nothing reads any more."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -151,13 +151,45 @@ def test_decontamination(spark, monkeypatch):
     items = spark.createDataFrame(bench, "item_id long, text string")
     reference = sorted(decontaminate.brute_force(docs, bench, 4))
     assert sorted(map(tuple, decontaminate.contamination(df, items, 4).collect())) == reference
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
-    monkeypatch.setattr(decontaminate, "CANDIDATES", 3)
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 100)  # several segments, and texts longer than one
     assert sorted(map(tuple, decontaminate.contamination(df, items, 4).collect())) == reference
     assert not any(r.n_hit for r in decontaminate.contamination(df, items.limit(0)).collect())
     assert decontaminate.contamination(df.limit(0), items).count() == 0
 
 
+def test_one_index_answers_several_benchmarks(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i % 7} and so on {i}, the end of it") for i in range(50)] + [(60, "x " * 300 + "w1 and so on 1")], DOCS)
+    path = str(tmp_path / "index")
+    decontaminate.build_index(docs, path)
+    stored = spark.read.parquet(path)
+    assert stored.where("term = cast('and' as binary)").agg(F.sum("n")).head()[0] == 51
+    for text, expected in (("W3 AND so on", 7), ("w1 and so on 1", 2), ("of it the end", 0)):
+        bench = spark.createDataFrame([("q", text)], "item_id string, text string")
+        found = decontaminate.hits(spark, path, bench).collect()
+        assert len(found) == expected and all(r.hit_spans[0].end - r.hit_spans[0].start == len(text.split()) for r in found)
+
+
+def test_packed_numbers():
+    values = np.array([0, 1, 127, 128, 16383, 16384, 2097151, 2097152, (1 << 28) - 1, 1 << 28, (1 << 31) - 1])
+    data, size = decontaminate.packed(values)
+    assert decontaminate.unpacked(data).tolist() == values.tolist() and size.tolist() == [1, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    assert len(decontaminate.unpacked(decontaminate.packed(values[:0])[0])) == 0
+
+
+def test_anchors_in_chunks(monkeypatch):
+    rng = random.Random(6)
+    texts = [(" ".join(rng.choice("abcd") for _ in range(40)), i, i) for i in range(5)]
+    terms, counts, data, ends, about = decontaminate.segment_rows(texts)
+    lists = [data[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+    p = decontaminate.Postings(about, np.arange(len(terms)), counts, lists)
+    asked = np.array([[terms.index(b"a"), terms.index(b"b")], [terms.index(b"c"), terms.index(b"c")]])
+    whole = [sorted(zip(*(x.tolist() for x in p.phrases(asked, np.array([[0, 1], [0, 1]])))))]
+    monkeypatch.setattr(decontaminate, "CANDIDATES", 3)
+    assert [sorted(zip(*(x.tolist() for x in p.phrases(asked, np.array([[0, 1], [0, 1]])))))] == whole
+    plain = [(k, s) for k, (x, y) in enumerate((("a", "b"), ("c", "c"))) for d, (t, _, _) in enumerate(texts) for s, (u, v) in enumerate(zip(t.split(), t.split()[1:]), 41 * d) if (u, v) == (x, y)]
+    assert whole == [sorted(plain)]
+
+
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "a b c d"), (2, None), (3, "b x c a"), (4, "a x x x x x b")], DOCS)
     items = spark.createDataFrame([(1, "a b"), (2, "c a")], "item_id long, text string")
@@ -232,14 +264,38 @@ def repeated_texts():
     return docs
 
 
-@pytest.mark.parametrize(("most", "indexed", "chunk"), [(4 << 20, 1 << 20, 1 << 19), (0, 1 << 20, 1 << 19), (4 << 20, 300, 64)])
-def test_repeats(spark, monkeypatch, most, indexed, chunk):
-    monkeypatch.setattr(repeats, "MOST", most)
+@pytest.mark.parametrize(("indexed", "gram"), [(1 << 20, 64), (300, 8), (0, 4)])
+def test_repeats(spark, monkeypatch, indexed, gram):
+    """With small indexes, minimizers of many contents are dealt again by longer strings, up to whole windows."""
+    monkeypatch.setattr(repeats, "INDEXED", indexed)
+    monkeypatch.setattr(repeats, "GRAM", gram)
     docs = repeated_texts()
     got = repeats.repeat_digests(spark.createDataFrame(docs, DOCS).withColumn("rid", F.lit(1)), 24)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(repeats.brute_force(docs, 24), key=str)
 
 
+def test_repeats_of_one_minimizer_in_many_contents(spark, monkeypatch):
+    """One line in many texts with other words around it, some of them twice: more than an index takes."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7)))
+    line = " ".join(word() for _ in range(14))
+    sides = [" ".join(word() for _ in range(30)) for _ in range(25)]
+    docs = [(i, f"{rng.choice(sides)} {line} {rng.choice(sides)}") for i in range(120)] + [(500, None), (501, line)]
+    monkeypatch.setattr(repeats, "INDEXED", 2000)
+    got = repeats.repeat_digests(spark.createDataFrame(docs, DOCS), 200)
+    assert sorted(map(tuple, got.collect())) == sorted(repeats.brute_force(docs, 200))
+
+
+def test_repeats_at_the_edges_of_chunks(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 64)
+    docs = repeated_texts()
+    got = []
+    for _, text in docs:  # the workers read the module's own CHUNK, so this part runs here
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        got.append(sum(int(n.sum()) for a in range(0, len(data) - 23, 64) for n in [repeats.segments(data[a : a + 64 + 23], 24)[3]]))
+    assert got == [max(0, len((t or "").encode()) - 23) for _, t in docs]
+
+
 def test_repeats_empty_and_text(spark):
     docs = spark.createDataFrame(repeated_texts(), DOCS).withColumn("rid", F.lit("kept"))
     assert repeats.repeat_digests(docs.limit(0), 24).count() == 0
