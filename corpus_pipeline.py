@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quiltgraph import ship
 from quiltgraph.llm import bpe, decontaminate, jaccard, repeats, toxicity
-from quiltgraph.llm.common import free_name, scratch_path, table
+from quiltgraph.llm.common import free_name, scratch_path, table, text_keys
 from quiltgraph.llm.queries import default_ranks
 
 TOXIC_AT = 0.5
@@ -65,9 +65,9 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Benchmark windows stay, repeated or not: the next stage decides by them on whole documents,
     and a passage that had gone from its text could no longer speak against the document.
     """
-    found = decontaminate.phrase_matches(docs, table(spark, sf_dir, "benchmark"), BENCHMARK_WORDS)
-    spans, before = found.columns[-2], free_name(found, "text_before")
-    left = repeats.remove_repeats(found.withColumn(before, F.col("text")), REPEATED_BYTES, spared=spans, spared_bytes=_with_separators)
+    found = decontaminate.text_hits(docs, table(spark, sf_dir, "benchmark"), BENCHMARK_WORDS)
+    spared, before = found.select("h", "g", F.col("hit_spans").alias("spared")), free_name(docs, "text_before")
+    left = repeats.remove_repeats(docs.withColumn(before, F.col("text")), REPEATED_BYTES, spared=spared, spared_bytes=_with_separators)
     changed = ~F.col("text").eqNullSafe(F.col(before))
     emptied = changed & (F.trim("text") == "")
     return left.where(~emptied).withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
@@ -75,10 +75,11 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than a BENCHMARK_SHARE-th lies in benchmark windows."""
-    found = decontaminate.phrase_matches(docs, table(spark, sf_dir, "benchmark"), BENCHMARK_WORDS)
-    words, spans = found.columns[-3], found.columns[-2]
-    hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return found.where(~((hit > 0) & (BENCHMARK_SHARE * hit >= F.col(words)))).select(docs.columns)
+    found = decontaminate.text_hits(docs, table(spark, sf_dir, "benchmark"), BENCHMARK_WORDS)
+    hit, (h, g) = decontaminate.n_hit(), (free_name(docs, c) for c in ("h_", "g_"))
+    bad = found.where((hit > 0) & (BENCHMARK_SHARE * hit >= F.col("n_words"))).select(F.col("h").alias(h), F.col("g").alias(g))
+    keys = text_keys("text")
+    return docs.withColumns({h: keys[0], g: keys[1]}).join(bad, [h, g], "left_anti").select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
