@@ -1,14 +1,14 @@
 """Quality: averaged subword embeddings with a softmax, fitted by stochastic descent.
 
 A word (a run without ASCII white space) stands for its own hashed vector and those of
-the n-grams of one to three bytes in it, the blanks at its ends included. A document is
+the n-grams of one to three characters in it, the blanks at its ends included. A document is
 the mean of all these vectors; a linear layer and a softmax give the classes. Plain
 numpy stochastic gradient descent learns both layers from at most ``per_class``
-labelled texts of each class.
+labelled texts of each class, of at most ``LONGEST`` characters each.
 
 With two classes the logit is a mean of one number per feature, so scoring keeps
 only those numbers, and hashes all words and n-grams of a piece of text at once. It
-reads every whole text; one of more than ``CHUNK`` bytes in pieces cut at blanks.
+reads every whole text; one of more than ``CHUNK`` characters in pieces cut at blanks.
 
 Defined results: null, empty and blank texts have no features and score by the
 intercept; repeated rows are scored each; without labelled rows of both classes every
@@ -36,18 +36,25 @@ WIDTH = 12
 EPOCHS = 12
 RATE = 2.0
 SEED = 7
-CHUNK = 1 << 20  # bytes hashed at a time
-BLANKS = bytes(32 if b in b" \t\n\r\f\v" else b for b in range(256))
+CHUNK = 1 << 20  # characters hashed at a time
 
 _BASE = 0x9E3779B97F4A7C15
-_POWER = np.concatenate([[1], np.cumprod(np.full(2 * CHUNK + 2, _BASE, np.uint64), dtype=np.uint64)]).astype(np.uint64)
-_INVERSE = np.concatenate([[1], np.cumprod(np.full(2 * CHUNK + 2, pow(_BASE, -1, 1 << 64), np.uint64), dtype=np.uint64)]).astype(np.uint64)
 
 
-def features(piece: bytes) -> np.ndarray:
+def _powers(base: int) -> np.ndarray:
+    out = np.full(2 * CHUNK + 3, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def features(piece: str) -> np.ndarray:
     """Buckets, with repeats, of the words of a piece and of their n-grams."""
-    b = np.frombuffer(b" " + piece.translate(BLANKS) + b" ", np.uint8).astype(np.uint32)
-    blank = b == 32
+    b = np.frombuffer(f" {piece} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
+    blank = (b == 32) | (b - np.uint32(9) < 5)
+    b[blank] = 32
     spread = lambda h, n: ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + np.uint32(n * 0x9E37)) >> np.uint32(32 - BITS)
     two = b[:-1] * np.uint32(0x01000193) + b[1:] * np.uint32(0x9E3779B1)
     three = two[:-1] * np.uint32(0x01000193) + b[2:] * np.uint32(0x9E3779B1)
@@ -59,13 +66,13 @@ def features(piece: bytes) -> np.ndarray:
     return np.concatenate([spread(b * np.uint32(0x85EBCA6B), 1)[~blank], spread(two, 2)[~(blank[:-1] & blank[1:])], spread(three, 3)[~blank[1:-1]], word])
 
 
-def pieces(text: str) -> Iterator[bytes]:
-    data, a = text.encode("utf-8", "surrogatepass"), 0
-    while a < len(data):
-        b = len(data)
+def pieces(text: str) -> Iterator[str]:
+    a = 0
+    while a < len(text):
+        b = len(text)
         if b - a > CHUNK:
-            b = data.rfind(b" ", a, a + CHUNK) + 1 or a + CHUNK
-        yield data[a:b]
+            b = text.rfind(" ", a, a + CHUNK) + 1 or a + CHUNK
+        yield text[a:b]
         a = b
 
 

@@ -9,13 +9,16 @@ a lower bound of each row's score. The k-th highest bound is read from the most
 significant slice downward; rows whose bound plus the largest possible loss reaches
 it are scored exactly, and only those.
 
-Each block of queries meets each block of rows once; both have bounded size.
+A block of rows goes to one task, which builds its index once and lets the small blocks
+of queries stream past it. Only where blocks are fewer than the session's cores are the
+queries dealt to several slices, each with the block and an index of its own.
 
 Defined results: vectors that are null or hold a null or non-finite component take
 no part; missing trailing components of shorter vectors count as 0; a query skips
 every row with its own vec_id; rows that repeat a (vec_id, vector) are candidates
 each, and one query; null vec_ids take no part; ties go to the smaller vec_id;
-no rows, no results. Quantised components must fit 32 bits, else Spark's cast raises.
+no rows, no results. Quantised components must fit 32 bits, else Spark's cast raises,
+and scores must fit 62 bits, else the search raises.
 """
 
 from __future__ import annotations
@@ -155,33 +158,45 @@ def _pack_blocks(rows: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
     return dealt.drop("salt").groupBy(key).applyInPandas(pack, f"{key} int, {key}_dims int, {key}_ids binary, {key}_values binary"), blocks
 
 
+def _dealt(blocks: DataFrame, n_blocks: int, queries: DataFrame, slices: int) -> DataFrame:
+    """(block, slice, ask, dims, ids, values) in tasks by block and slice, sorted so that a block (ask -1) comes before its queries."""
+    packed = lambda key: (F.col(f"{key}_dims").alias("dims"), F.col(f"{key}_ids").alias("ids"), F.col(f"{key}_values").alias("values"))
+    numbers = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    rows = blocks.select("block", F.explode(numbers(slices)).alias("slice"), F.lit(-1).alias("ask"), *packed("block"))
+    asks = queries.select(F.explode(numbers(n_blocks)).alias("block"), (F.col("ask") % slices).alias("slice"), "ask", *packed("ask"))
+    return rows.unionByName(asks).repartition("block", "slice").sortWithinPartitions("block", "slice", "ask")
+
+
+def answers(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The best rows of each block for each of the queries that follow it."""
+    index, dims, most = None, 0, 0
+    for pdf in batches:
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")]
+        for r in pdf.itertuples(index=False):
+            ids = np.frombuffer(r.ids, np.int64)
+            values = np.frombuffer(r.values, np.int32).reshape(len(ids), r.dims)
+            if r.ask < 0:
+                index, dims, most = BitSlicedIndex(ids, values), r.dims, int(np.abs(values.astype(np.int64)).max(initial=0))
+                continue
+            if dims * most * int(np.abs(values.astype(np.int64)).max(initial=0)) >= 1 << 62:
+                raise ValueError("scores of these vectors don't fit 62 bits")
+            for q, v in zip(ids.tolist(), values):
+                query = np.zeros(dims, np.int64)
+                query[: len(v)] = v[:dims]  # columns that no row has add nothing
+                best, scores = index.top(query, q, k)
+                out.append(pd.DataFrame({"query_id": q, "vec_id": best, "score": scores}))
+        yield pd.concat(out)
+
+
 def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The ``k`` best other rows of ``df`` for each row where ``is_query`` holds."""
     kept = df.where(F.col(vec_id).isNotNull() & usable(F.col(vector)))
     rows = kept.select(F.col(vec_id).cast("long").alias("vec_id"), quantised(F.col(vector), scale).alias("v"), is_query.alias("is_query"), F.monotonically_increasing_id().alias("salt"))
-    blocks, _ = _pack_blocks(rows.drop("is_query"), "block", BLOCK)
+    blocks, n_blocks = _pack_blocks(rows.drop("is_query"), "block", BLOCK)
     asked = rows.where("is_query").dropDuplicates(["vec_id", "v"]).drop("is_query").withColumn("salt", F.lit(0))
     queries, n_queries = _pack_blocks(asked, "ask", QUERY_BLOCK)
-    pairs = blocks.withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).join(queries, "ask")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, index = None, None
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if last != r.block:
-                    ids = np.frombuffer(r.block_ids, np.int64)
-                    last, index = r.block, BitSlicedIndex(ids, np.frombuffer(r.block_values, np.int32).reshape(len(ids), r.block_dims))
-                ask_ids, dims = np.frombuffer(r.ask_ids, np.int64), r.block_dims
-                asks = np.frombuffer(r.ask_values, np.int32).reshape(len(ask_ids), r.ask_dims)
-                out = []
-                for q, values in zip(ask_ids.tolist(), asks):
-                    query = np.zeros(dims, np.int64)
-                    query[: len(values)] = values[:dims]  # columns that no row has add nothing
-                    ids, scores = index.top(query, q, k)
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": scores}))
-                yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-
-    found = pairs.mapInPandas(run, "query_id long, vec_id long, score long")
+    slices = min(n_queries, -(-df.sparkSession.sparkContext.defaultParallelism // n_blocks))
+    found = _dealt(blocks, n_blocks, queries, slices).mapInPandas(lambda batches: answers(batches, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -5,7 +5,7 @@ between two blanks, counted and divided by the text's length plus ``SMOOTH`` cha
 Each is scaled by the log-count ratio r of the two classes with add-one smoothing,
 and a logistic regression with a quadratic penalty is fitted to the scaled features by
 L-BFGS until no slope is above ``SLOPE``. The fit uses at most ``per_class`` labelled
-texts of each class, in one task, and gives one weight for each bucket; scoring reads
+texts of each class, of at most ``LONGEST`` characters each, in one task, and gives one weight for each bucket; scoring reads
 every whole text.
 
 Defined results: null and empty texts have no features and score by the intercept;

@@ -141,11 +141,14 @@ def record_bytes(archive: DataFrame) -> DataFrame:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Archives ``pages`` in the shared folder and reports the records read back."""
+    """Archives ``pages`` in the shared folder, rebuilds every record and reports what it states, once its parts have been verified."""
     spark = pages.sparkSession
     path = write_archive(pages, scratch_path(spark, "warc"))
-    read = read_archive(spark, path)
-    checked = F.when(F.col("verified"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a stored payload fails its digest")).cast("string"))
+    read = record_bytes(read_archive(spark, path))
+    head = F.octet_length("header")
+    stated = F.when(F.col("record_type") == "revisit", F.lit(0).cast("long")).otherwise(F.col("payload_bytes"))
+    whole = (F.octet_length("record") == head + stated + 4) & (F.substring("record", F.lit(1), head) == F.col("header"))
+    checked = F.when(F.col("verified") & whole, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a stored payload fails its digest")).cast("string"))
     return read.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
 
 

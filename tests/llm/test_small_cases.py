@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import re
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -97,7 +99,123 @@ def test_top_k(spark, monkeypatch, spread):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_a_block_is_indexed_once(spark, monkeypatch):
+    built = []
+    monkeypatch.setattr(topk, "BitSlicedIndex", lambda *a, real=topk.BitSlicedIndex: built.append(1) or real(*a))
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, rng.integers(-50, 50, 4).tolist(), i) for i in range(90)], "vec_id long, v array<int>, salt long")
+    blocks, n_blocks = topk._pack_blocks(rows, "block", 30)
+    queries, n_queries = topk._pack_blocks(rows.where("vec_id < 12"), "ask", 3)
+    for slices in (1, 2):
+        parts = topk._dealt(blocks, n_blocks, queries, slices).rdd.glom().collect()  # a test may look into partitions
+        built.clear()
+        for part in parts:
+            assert [(r.block, r.slice, r.ask) for r in part] == sorted((r.block, r.slice, r.ask) for r in part)
+            list(topk.answers(iter([pd.DataFrame(part, columns=["block", "slice", "ask", "dims", "ids", "values"])]), 3))
+        assert n_blocks >= 2 and n_queries >= 2 and len(built) == n_blocks * slices
+
+
+def test_scores_that_overflow_are_refused():
+    big = np.full((2, 64), 2**31 - 1, np.int32)
+    row = lambda ask: (0, 0, ask, 64, np.array([1, 2], np.int64).tobytes(), big.tobytes())
+    with pytest.raises(ValueError, match="62 bits"):
+        list(topk.answers(iter([pd.DataFrame([row(-1), row(0)], columns=["block", "slice", "ask", "dims", "ids", "values"])]), 1))
+
+
 # 3 and 9. Classifiers.
+def plain_toxicity(text: str, weights: np.ndarray, bias: float) -> float:
+    """The score by a loop over n-grams, each hashed by itself."""
+    mask, total, low = (1 << 32) - 1, 0.0, f" {text.lower()} "
+    for n in toxicity.ORDERS:
+        for i in range(len(low) - n + 1 if text else 0):
+            h = ord(low[i])
+            for c in low[i + 1 : i + n]:
+                h = (h * 0x01000193 + ord(c) * 0x9E3779B1) & mask
+            h ^= h >> 15
+            total += float(weights[((h * 0x2C1B3C6D + n * 0x85EB) & mask) >> (32 - toxicity.BITS)])
+    z = bias + total * toxicity.UNIT / (len(text) + toxicity.SMOOTH)
+    return 1 / (1 + np.exp(-z))
+
+
+def plain_quality(text: str, value: np.ndarray, bias: float) -> float:
+    """The score by a loop over words and n-grams, each hashed by itself."""
+    mask, wide, found = (1 << 32) - 1, (1 << 64) - 1, []
+    data = [32 if c in (32, 9, 10, 11, 12, 13) else c for c in map(ord, f" {text} ")] if text else []
+
+    def spread(h: int, n: int) -> None:
+        h ^= h >> 15
+        found.append(((h * 0x2C1B3C6D + n * 0x9E37) & mask) >> (32 - quality.BITS))
+
+    for i, c in enumerate(data):
+        if c != 32:
+            spread(c * 0x85EBCA6B & mask, 1)
+        if i + 1 < len(data) and (c != 32 or data[i + 1] != 32):
+            spread((c * 0x01000193 + data[i + 1] * 0x9E3779B1) & mask, 2)
+        if i + 2 < len(data) and data[i + 1] != 32:
+            two = (c * 0x01000193 + data[i + 1] * 0x9E3779B1) & mask
+            spread((two * 0x01000193 + data[i + 2] * 0x9E3779B1) & mask, 3)
+    for w in "".join(map(chr, data)).split(" "):
+        if w:
+            h, power = 0, 1
+            for c in w:
+                h, power = (h + ord(c) * power) & wide, power * 0x9E3779B97F4A7C15 & wide
+            h ^= h >> 31
+            found.append((h * 0xBF58476D1CE4E5B9 & wide) >> (64 - quality.BITS))
+    return 1 / (1 + np.exp(-(bias + (sum(float(value[i]) for i in found) / len(found) if found else 0.0))))
+
+
+@pytest.mark.parametrize(("module", "plain"), [(toxicity, plain_toxicity), (quality, plain_quality)])
+def test_scores_equal_a_plain_loop(module, plain):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abé漢🎉ZÉ  \n.") for _ in range(rng.randrange(0, 70))) for _ in range(60)] + ["", " ", "x", "one two  three"]
+    numbers = np.random.default_rng(2).normal(size=1 << module.BITS).astype(np.float32) / 1000
+    scorer = module.Scorer(numbers, 0.3)
+    for text in texts:
+        assert abs(scorer.score(text) - plain(text, numbers, 0.3)) < 1e-6
+
+
+def test_toxicity_fit_is_stationary():
+    """At the fitted weights no direction lowers the penalised loss: slopes by plain sums over the texts."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["oak", "elm", "ash", "fir"] + (["vile"] if i % 2 else [])) for _ in range(12)) for i in range(30)]
+    y = np.array([i % 2 for i in range(30)], np.float64)
+    weights, bias = toxicity.fit(texts, y)
+    scores = np.array([plain_toxicity(t, weights, bias) for t in texts])
+    assert abs((scores - y).mean()) < 10 * toxicity.SLOPE  # the intercept's slope
+    assert all(s > 0.5 for s, t in zip(scores, texts) if "vile" in t) and (scores[y == 0] < 0.5).all()
+
+
+def test_quality_reads_long_texts_in_pieces(monkeypatch):
+    text = "word é漢 " * 400
+    numbers = np.random.default_rng(3).normal(size=1 << quality.BITS).astype(np.float32)
+    whole = quality.Scorer(numbers, 0.0).score(text)
+    monkeypatch.setattr(quality, "CHUNK", 50)
+    parts = list(quality.pieces(text))
+    assert "".join(parts) == text and max(map(len, parts)) <= 50
+    assert abs(quality.Scorer(numbers, 0.0).score(text) - whole) < 0.02  # blanks at the cuts are seen twice
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_classifiers_with_clashing_columns(spark, module):
+    docs, labels = labelled(spark, 40)
+    clash = docs.withColumns({"score": F.lit("s"), "held_out": F.lit("h"), "y": F.lit(1), "predicted": F.lit("p")})
+    fold = held_out("doc_id", 5, 0)
+    assert sorted(map(tuple, module.predictions(clash, labels, fold, "label").collect()), key=str) == sorted(map(tuple, module.predictions(docs, labels, fold, "label").collect()), key=str)
+    model = module.train(docs, labels, ~fold, "label")
+    assert module.score(clash, model).columns == [*clash.columns, "score_"]
+    assert module.predictions(docs.limit(0), labels, fold, "label").count() == 0
+    assert {r.score for r in module.predictions(docs, labels.limit(0), fold, "label").collect()} == {0.5}
+
+
+def test_sample_is_bounded_in_rows_and_characters(spark):
+    from quiltgraph.llm.sampling import labelled_sample
+
+    docs, labels = labelled(spark, 60)
+    sample, shares = labelled_sample(docs, labels, "label", F.lit(True), 5, longest=150)
+    got = sample.collect()
+    assert shares == (30, 30) and len(got) <= 10 and all(len(r.text) <= 150 for r in got)
+
+
 def labelled(spark, n=160):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
@@ -221,6 +339,31 @@ def test_warc(spark, tmp_path):
 
 
 # 6. Licenses.
+def test_license_recall_at_any_offset(spark):
+    """Templates whole, cut to more than 0.8 and moved by any number of words: all are found, and nothing that lacks 0.8."""
+    rng = random.Random(31)
+    docs = []
+    for i, (name, template) in enumerate(sorted(licenses.TEMPLATES.items())):
+        w = template.split()
+        for k in range(12):
+            keep = w if k % 2 else w[: max(licenses.WORDS, -(-len(w) * 19 // 20))]
+            before, after = ([rng.choice(["oak", "elm", "ash"]) for _ in range(rng.randrange(0, 90))] for _ in range(2))
+            docs.append((100 * i + k, " ".join([*before, *keep, *after])))
+    docs += [(9000 + i, " ".join(t.split()[: len(t.split()) // 2])) for i, t in enumerate(licenses.TEMPLATES.values())]
+    got = {(r.doc_id, r.license): r.containment for r in licenses.scan(spark.createDataFrame(docs, DOCS)).collect()}
+    assert licenses.brute_force(docs) <= set(got)
+    grams = lambda t: {tuple(w[i : i + licenses.WORDS]) for w in [re.findall("[a-z0-9]+", t.lower())] for i in range(len(w) - licenses.WORDS + 1)}
+    text = dict(docs)
+    assert all(0.8 <= c <= len(grams(licenses.TEMPLATES[name]) & grams(text[d])) / len(grams(licenses.TEMPLATES[name])) + 1e-9 for (d, name), c in got.items())
+
+
+def test_license_of_a_very_long_text_and_ties(spark):
+    notice = licenses.TEMPLATES["CC-BY-4.0-notice"]
+    docs = [(1, "oak " * 30_000 + notice + " elm" * 30_000 + " " + notice)]
+    got = licenses.scan(spark.createDataFrame(docs, DOCS)).collect()
+    assert [(r.license, r.containment, r.first_word) for r in got] == [("CC-BY-4.0-notice", 1.0, 30_000)]  # of equal windows the first
+
+
 def test_licenses(spark):
     grant = licenses.TEMPLATES["MIT-grant"]
     cut = " ".join(grant.split()[:-6])
