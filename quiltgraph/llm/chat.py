@@ -10,7 +10,8 @@ Arguments may hold {"$ref": id} to use another call's result: a call's level is
 more than the highest level of what it refers to, found in rounds that settle
 calls whose references are settled; what never settles is in a cycle. Arguments
 are checked against schemas by parameter (type, required). Each message is
-written as canonical JSON: keys sorted, no blanks, nulls left out.
+written as canonical JSON: keys sorted, no blanks, nulls left out; calls and results
+keep what other members their own JSON has.
 
 Defined results: a null text is null content and is left out; null roles and ids likewise;
 text that isn't such JSON is plain content; results without a call and calls without a
@@ -61,6 +62,7 @@ def tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     each = made.select("conv_id", "turn", *own, F.posexplode("calls").alias("k", "call"))
     get = lambda path, kind: F.try_variant_get("call", path, kind)
     calls = each.select("conv_id", "turn", *own, F.col("k").cast("long").alias("k"), get("$.id", "string").alias("id"), get("$.name", "string").alias("name"), get("$.arguments", "variant").alias("arguments"))
+    calls = calls.withColumn("arguments", F.when(~F.is_variant_null("arguments"), F.col("arguments")))
     return calls.withColumn("faults", _faults(schemas))
 
 
@@ -104,6 +106,22 @@ def linked_results(messages: DataFrame) -> DataFrame:
     return tool_results(messages).join(calls, ["conv_id", "id"], "left").select("conv_id", "turn", *own, "id", F.col("c.name").alias("name"), F.col("c.turn").alias("call_turn"), F.col("c").isNotNull().alias("linked"))
 
 
+def _quoted(value: Column) -> Column:
+    """A string as JSON; null stays null."""
+    whole = F.to_json(F.struct(value.alias("a")))
+    return F.when(value.isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))
+
+
+def _canonical(own: dict[str, Column], given: Column) -> Column:
+    """An object of ``own`` members and those of a map of variants that have other names: by name, without nulls."""
+    member = lambda name, json: F.struct(name.alias("name"), json.alias("json"))
+    others = F.map_filter(given, lambda k, v: ~k.isin(*own) & v.isNotNull() & ~F.is_variant_null(v))
+    more = F.transform(F.map_keys(others), lambda k: member(k, F.to_json(F.element_at(others, k))))
+    known = F.array(*(member(F.lit(k), v) for k, v in own.items()))
+    all_ = F.array_sort(F.filter(F.concat(known, F.coalesce(more, F.array().cast("array<struct<name:string,json:string>>"))), lambda m: m["json"].isNotNull()))
+    return F.concat(F.lit("{"), F.array_join(F.transform(all_, lambda m: F.concat(_quoted(m["name"]), F.lit(":"), m["json"])), ","), F.lit("}"))
+
+
 def format_messages(messages: DataFrame, schemas: Schemas | None = None) -> DataFrame:
     """One row per message: its canonical JSON, its calls and results, and how many of them are linked and valid."""
     source = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
@@ -123,13 +141,15 @@ def format_messages(messages: DataFrame, schemas: Schemas | None = None) -> Data
     results = linked_results(numbered).select(ROW, F.col("linked").cast("long").alias("answered"))
     rows = numbered.join(calls, ROW, "left").join(results, ROW, "left").unionByName(source.where(~linking), allowMissingColumns=True)
     is_call = F.coalesce(calling, F.lit(False)) & F.col("calls").isNotNull()
+    plain = F.to_json(F.struct(F.col("text").alias("content"), "role"))
+    called = F.when(is_call, F.concat(F.lit("["), F.array_join(F.transform("calls", lambda c: c["json"]), ","), F.lit("]")))
     inner = F.try_variant_get(_parsed("text"), "$.content", "string")
-    head = F.to_json(F.struct(F.when(is_call | is_result, inner).otherwise(F.col("text")).alias("content"), "role", F.when(is_result, answers).alias("tool_call_id")))
-    with_calls = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.when(head != "{}", F.lit(",")).otherwise(F.lit("")), F.lit('"tool_calls":['), F.array_join(F.transform("calls", lambda c: c["json"]), ","), F.lit("]}"))
+    own = {"content": _quoted(inner), "role": _quoted(F.col("role")), "tool_call_id": F.when(is_result, _quoted(answers)), "tool_calls": called}
+    linked = _canonical(own, F.try_variant_get(_parsed("text"), "$", "map<string,variant>"))
     zero = F.lit(0).cast("long")
     return rows.select(
         "conv_id", "turn", "role",
-        F.when(is_call, with_calls).otherwise(head).alias("message"),
+        F.when(is_call | is_result, linked).otherwise(plain).alias("message"),
         F.when(is_call, F.size("calls").cast("long")).otherwise(zero).alias("n_calls"),
         F.when(is_call, F.coalesce("linked", zero)).when(is_result, F.coalesce("answered", zero)).otherwise(zero).alias("n_linked"),
         F.when(is_call, F.coalesce("invalid", zero)).otherwise(zero).alias("n_invalid"),

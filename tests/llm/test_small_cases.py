@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import random
 import re
 
@@ -537,3 +538,88 @@ def test_chat_links_by_message(spark):
     answer = lambda i: f'{{"content":"r{i}","role":"tool","tool_call_id":"{i}"}}'
     expected = [(1, 0, text("a", "b"), 2, 1), (1, 0, text("c"), 1, 1), (1, 0, text("c"), 1, 1), (1, 1, answer("a"), 0, 1), (1, 1, answer("c"), 0, 1), (1, None, text("d"), 1, 1), (1, None, answer("d"), 0, 1), (None, 0, text("e"), 1, 0), (None, None, answer("e"), 0, 0)]
     assert sorted(((r.conv_id, r.turn, r.message, r.n_calls, r.n_linked) for r in got), key=str) == sorted(expected, key=str)
+
+
+def plain_messages(messages, schemas):
+    """(conv_id, turn, role, message, n_calls, n_linked, n_invalid) of each message by plain loops."""
+    dump = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    kinds = {"string": str, "integer": int, "boolean": bool}
+
+    def parsed(text):
+        try:
+            found = json.loads(text) if text and text.lstrip().startswith("{") else {}
+        except ValueError:
+            found = {}
+        return found if isinstance(found, dict) else {}
+
+    def invalid(call):
+        given = call.get("arguments") or {}
+        rules = schemas.get(call.get("name"))
+        if rules is None:
+            return False
+        wrong = any(k not in rules or type(v) is not kinds[rules[k][0]] for k, v in given.items())
+        return wrong or any(need and k not in given for k, (_, need) in rules.items())
+
+    calls, answers = {}, {}
+    for conv, _, role, text in messages:
+        found = parsed(text)
+        if role == "assistant" and isinstance(found.get("tool_calls"), list) and conv is not None:
+            for call in found["tool_calls"]:
+                if call.get("id") is not None:
+                    refs = calls.setdefault((conv, call["id"]), set())
+                    refs |= {v["$ref"] for v in (call.get("arguments") or {}).values() if isinstance(v, dict)}
+        if role == "tool" and found.get("tool_call_id") is not None and conv is not None:
+            answers[conv, found["tool_call_id"]] = True
+    level = {}
+    for _ in range(len(calls) + 1):
+        for (conv, i), refs in calls.items():
+            inside = [(conv, r) for r in refs if (conv, r) in calls]
+            if all(x in level for x in inside):
+                level[conv, i] = 1 + max((level[x] for x in inside), default=-1)
+    out = []
+    for conv, turn, role, text in messages:
+        found, is_call = parsed(text), False
+        row = {"content": text, "role": role}
+        n = linked = wrong = 0
+        if role == "assistant" and isinstance(found.get("tool_calls"), list):
+            own = [{k: c.get(k) for k in ("arguments", "id", "name") if c.get(k) is not None} for c in found["tool_calls"]]
+            is_call = bool(own)
+            if own:
+                n, linked, wrong = len(own), sum((conv, c.get("id")) in answers for c in own), sum(map(invalid, own))
+                placed = sorted((level.get((conv, c.get("id")), 2147483647), k, c) for k, c in enumerate(own))
+                row = {k: v for k, v in found.items() if v is not None} | {"role": role, "tool_calls": [c for _, _, c in placed]}
+                row.pop("tool_call_id", None)
+        if role == "tool" and found.get("tool_call_id") is not None:
+            linked = int((conv, found["tool_call_id"]) in calls)
+            row = {k: v for k, v in found.items() if v is not None and k != "tool_calls"} | {"role": role}
+        assert is_call or n == 0
+        out.append((conv, turn, role, dump({k: v for k, v in row.items() if v is not None}), n, linked, wrong))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_chat_equals_plain_loops(spark, seed):
+    """Random conversations with calls, results, references, cycles, repeats, clashing turns, nulls and texts that only look like JSON."""
+    rng = random.Random(seed)
+    schemas = {"search": {"query": ("string", True), "limit": ("integer", False)}, "flag": {"on": ("boolean", True)}}
+    ids = [f"c{i}" for i in range(6)]
+    value = lambda: rng.choice(["w", 3, True, {"$ref": rng.choice(ids)}])
+
+    def call():
+        arguments = {k: value() for k in rng.sample(["query", "limit", "on", "zz"], rng.randrange(0, 3))}
+        return {"id": rng.choice([*ids, None]), "name": rng.choice(["search", "flag", "other"]), "arguments": rng.choice([arguments, arguments, None])}
+
+    def text(role):
+        if role == "assistant":
+            return json.dumps({"tool_calls": [call() for _ in range(rng.randrange(0, 4))], "content": rng.choice(["hi", None]), "extra": rng.choice([None, 7, {"b": 1, "a": [2]}])})
+        if role == "tool":
+            return json.dumps({"tool_call_id": rng.choice([*ids, "unknown"]), "content": "ok", "z": rng.choice([None, "more"])})
+        return rng.choice(["plain", None, "", "{broken", '{"tool_calls": 3}'])
+
+    messages = []
+    for _ in range(60):
+        role = rng.choice(["assistant", "assistant", "tool", "tool", "user", None])
+        messages.append((rng.choice([1, 2, 3, None]), rng.choice([0, 1, 1, 2, None]), role, rng.choice([text(role), text(role), text("user")])))
+    messages += messages[:5]
+    got = chat.format_messages(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string"), schemas)
+    assert sorted(map(tuple, got.collect()), key=str) == plain_messages(messages, schemas)
