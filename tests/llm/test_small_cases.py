@@ -155,7 +155,9 @@ def plain_quality(text: str, value: np.ndarray, bias: float) -> float:
         if i + 2 < len(data) and data[i + 1] != 32:
             two = (c * 0x01000193 + data[i + 1] * 0x9E3779B1) & mask
             spread((two * 0x01000193 + data[i + 2] * 0x9E3779B1) & mask, 3)
-    for w in "".join(map(chr, data)).split(" "):
+    words = [w for w in "".join(map(chr, data)).split(" ") if w]
+    found += [quality.SAME for v, w in zip(words, words[1:]) if v == w]
+    for w in words:
         if w:
             h, power = 0, 1
             for c in w:
@@ -168,7 +170,7 @@ def plain_quality(text: str, value: np.ndarray, bias: float) -> float:
 @pytest.mark.parametrize(("module", "plain"), [(toxicity, plain_toxicity), (quality, plain_quality)])
 def test_scores_equal_a_plain_loop(module, plain):
     rng = random.Random(12)
-    texts = ["".join(rng.choice("abé漢🎉ZÉ  \n.") for _ in range(rng.randrange(0, 70))) for _ in range(60)] + ["", " ", "x", "one two  three"]
+    texts = ["".join(rng.choice("abé漢🎉ZÉ  \n.") for _ in range(rng.randrange(0, 70))) for _ in range(60)] + ["", " ", "x", "one two  three", "on on\non off"]
     numbers = np.random.default_rng(2).normal(size=1 << module.BITS).astype(np.float32) / 1000
     scorer = module.Scorer(numbers, 0.3)
     for text in texts:
