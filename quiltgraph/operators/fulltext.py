@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quiltgraph.errors import QueryError
 from quiltgraph.functions.temporal import let
 from quiltgraph.functions.types import all_of
+from quiltgraph.operators.patterns import checkpointed
 from quiltgraph.sources.catalog import Graph
 
 K1, B = 1.2, 0.75
@@ -107,6 +108,7 @@ def search(graph: Graph, label: str, prop: str, query: str) -> DataFrame:
     docs = df.where(F.coalesce(*props).isNotNull()).select("_id", let([words], measure).alias("m"))
     positive = [k for k, t in enumerate(leaves) if not _only_negated(tree, t)]
     counted = docs.select("_id", F.col("m.length").alias("length"), test(tree).alias("hit"), *(F.col(f"m.tf{k}").alias(f"tf{k}") for k in positive))
+    counted = checkpointed(counted)  # numbers only: the texts are split once, for the totals and the rows
     totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in positive))
     rows = counted.where("hit").crossJoin(F.broadcast(totals))  # one row of totals
     score = F.lit(0.0)
@@ -117,6 +119,22 @@ def search(graph: Graph, label: str, prop: str, query: str) -> DataFrame:
     return rows.select(F.col("_id").alias("node"), score.alias("score"))
 
 
+def substring_score(text: F.Column, term: str, table: DataFrame, prop: str) -> tuple[DataFrame, F.Column]:
+    """One row of totals to join, and the BM25 score of texts that hold ``term``, a phrase of trigrams, among a table's.
+
+    A text is as long as it has trigrams; a term of less than three characters scores 0.
+    """
+    if len(term) < 3:
+        return table.sparkSession.range(1).select(F.lit(1).alias("fts_n")), F.lit(0.0)
+    pattern = F.lit("(?=\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E)")  # also where occurrences overlap
+    length = lambda c: F.greatest(F.length(c) - 2, F.lit(0))
+    totals = table.where(F.col(prop).isNotNull()).agg(F.count(F.lit(1)).alias("fts_n"), F.avg(length(F.col(prop))).alias("fts_mean"), F.count_if(F.col(prop).contains(term)).alias("fts_df"))
+    n, df_ = F.col("fts_n"), F.col("fts_df")
+    idf = F.greatest(F.ln((n - df_ + 0.5) / (df_ + 0.5)), F.lit(1e-6))
+    tf = F.regexp_count(text, pattern)
+    return totals, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length(text) / F.col("fts_mean")))
+
+
 def _only_negated(tree, leaf, negated=False) -> bool:
     """Whether a leaf stands only under NOT."""
     if tree == leaf:

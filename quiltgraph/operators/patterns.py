@@ -8,12 +8,14 @@ paths are loops over a frontier that end when it is empty.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltgraph.errors import semantic
+from quiltgraph.errors import QueryError, semantic
 from quiltgraph.functions import scalar
 from quiltgraph.functions.types import Typed
 from quiltgraph.operators.expressions import Expressions
@@ -31,12 +33,15 @@ def props_of(e, params: dict) -> tuple:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` from a reliable checkpoint in ``spark.checkpoint.dir``; only a session of one machine may do without that setting."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="quilt-checkpoints-"))
+        if not where:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise QueryError("ConfigurationError", "NoSharedFolder", "set spark.checkpoint.dir to a folder that the cluster shares", "Runtime")
+            where = tempfile.mkdtemp(prefix="quilt-checkpoints-")
+        context.setCheckpointDir(where)
     return df.checkpoint()
 
 

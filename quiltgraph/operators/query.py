@@ -8,6 +8,9 @@ MATCH and pattern comprehensions join what was found back on them, nulls being e
 
 from __future__ import annotations
 
+import inspect
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,9 @@ from quiltgraph.sources.catalog import Graph, spark_type
 
 
 
+MOST_CALLS = 100  # of a procedure, with arguments that the rows give
+
+
 def names_in(e) -> set[str]:
     """Variables that a clause or expression mentions, in patterns too."""
     out = set()
@@ -154,6 +160,7 @@ class Query:
 
     def run(self, clauses: list[tuple]) -> DataFrame:
         self.used = self.used or properties_read(clauses)
+        self.scored = {x[2][0][1] for x in walk(tuple(clauses)) if len(x) == 4 and x[0] == "call" and str(x[1]).lower() == "score" and x[2] and x[2][0][0] == "var"}
         for k, c in enumerate(clauses):
             if c[0] == "return" and k != len(clauses) - 1:
                 raise semantic("InvalidClauseComposition", "RETURN must be last")
@@ -188,6 +195,23 @@ class Query:
             inner.filter(where)
         return inner.df, inner.scope
 
+    def bind_scores(self, where) -> None:
+        """score(n) after a substring predicate on a property with a full-text index."""
+        for e in conjuncts(where) if where is not None else ():
+            if not (e[0] == "bin" and e[1] in ("CONTAINS", "STARTS", "ENDS") and e[2][0] == "prop" and e[2][1][0] == "var" and e[3][0] in ("lit", "param")):
+                continue
+            name, prop, term = e[2][1][1], e[2][2], self.params.get(e[3][1]) if e[3][0] == "param" else e[3][1]
+            b = self.scope.get(name)
+            if name not in self.scored or not isinstance(b, Node) or prop not in b.props or not isinstance(term, str):
+                continue
+            label = next((x for x, props, kind in self.graph.indexes if x in b.static and tuple(props) == (prop,) and kind in ("fulltext", "fulltext_ci")), None)
+            if label is None:
+                continue
+            totals, score = fulltext.substring_score(F.col(b.props[prop][0]), term, self.graph.scan([label])[0], prop)
+            c = fresh("score")
+            self.df = self.df.crossJoin(F.broadcast(totals)).withColumn(c, score.cast("double")).drop(*totals.columns)  # one row of totals
+            self.scope[name] = replace(b, props=b.props | {"__score": (c, "float")})
+
     def on_match(self, optional: bool, patterns, where) -> None:
         for p in patterns:
             for e in p[3]:
@@ -205,7 +229,9 @@ class Query:
                 late = [c for c in conjuncts(where) if names_in(c) - known]
                 self.df, self.scope = self.matched(self.df, self.scope, plain, joined_by_and(early))
                 patterns, where = [p for p in patterns if p[2]], joined_by_and(late)
+            condition = where
             self.df, self.scope = self.matched(self.df, self.scope, patterns, where)
+            self.bind_scores(condition)
             return
         self.trace.append("LeftOuterJoin")
         self.rows()
@@ -303,6 +329,7 @@ class Query:
             getattr(q, f"on_{c[0]}")(*c[1:])
         return q.rows()
 
+    scored: set[str] = set()
     carried: list[str] = []
     seed: DataFrame | None = None
 
@@ -543,14 +570,18 @@ class Query:
         if name not in self.procedures:
             raise QueryError("ProcedureError", "ProcedureNotFound", f"no procedure {name}")
         outputs, f = self.procedures[name]
-        values = []
-        for a in args if args is not None else ():
-            if has_aggregate(a):
-                raise semantic("InvalidAggregation", "an aggregate in CALL")
-            if a[0] not in ("lit", "param"):
-                raise semantic("InvalidArgumentPassingMode", "arguments of CALL are literals or parameters")
-            values.append(self.params[a[1]] if a[0] == "param" else a[1])
-        found = f(self.graph, *values)
+        if args is None:  # without parentheses: parameters of the query by the procedure's own names
+            inputs = [p.name for p in list(inspect.signature(f).parameters.values())[1:] if p.kind is p.POSITIONAL_OR_KEYWORD and p.default is p.empty]
+            if missing := [p for p in inputs if p not in self.params]:
+                raise QueryError("ArgumentError", "MissingParameter", f"parameter ${missing[0]} is missing", "Runtime")
+            args = [("param", p) for p in inputs]
+        if any(map(has_aggregate, args)):
+            raise semantic("InvalidAggregation", "an aggregate in CALL")
+        keys: list[str] = []
+        if all(a[0] in ("lit", "param") for a in args):
+            found = f(self.graph, *(self.params[a[1]] if a[0] == "param" else a[1] for a in args))
+        else:
+            keys, found = self.call_each(name, f, outputs, args)
         self.trace.append(f"ProcedureCall({name})")
         if not outputs:
             self.rows()
@@ -562,9 +593,12 @@ class Query:
             if alias in self.scope:
                 raise semantic("VariableAlreadyBound", f"{alias} is bound already")
         made = {alias: fresh(alias) for _, alias in chosen}
-        found = found.select(*(F.col(c).alias(made[alias]) for c, alias in chosen))
+        found = found.select(*(k + "_r" for k in keys), *(F.col(c).alias(made[alias]) for c, alias in chosen))
         kinds = {c: outputs[c] for c, _ in chosen}
-        self.df = found if self.df is None else self.df.crossJoin(found)  # each row meets the call's whole result
+        if keys:
+            self.df = self.df.join(found, null_safe(keys, "_r")).drop(*keys, *(k + "_r" for k in keys))
+        else:
+            self.df = found if self.df is None else self.df.crossJoin(found)  # each row meets the call's whole result
         self.scope |= {alias: Node(made[alias], None, frozenset(), {}) if kinds[c] == "node" else Value(made[alias], kinds[c]) for c, alias in chosen}
         for alias, b in list(self.scope.items()):
             if isinstance(b, Node) and b.id in made.values() and not b.props:
@@ -576,6 +610,22 @@ class Query:
         if where is not None:
             self.filter(where)
 
+    def call_each(self, name: str, f, outputs: dict, args) -> tuple[list[str], DataFrame]:
+        """Calls with arguments of the rows: one for each different set of them, and the columns (.._r) to join its rows by."""
+        self.rows()
+        evaluate = self.prepared(*args)
+        columns = {fresh("argument"): evaluate(a) for a in args}
+        self.df = self.df.withColumns({k: x.col for k, x in columns.items()})
+        wanted = self.df.select(*columns).distinct().limit(MOST_CALLS + 1).collect()
+        if len(wanted) > MOST_CALLS:
+            raise QueryError("ProcedureError", "TooManyCalls", f"{name} would be called with more than {MOST_CALLS} different arguments", "Runtime")
+        kinds = {k: spark_type(x.t) for k, x in columns.items()}
+        out = self.spark.range(0).select(*(F.lit(None).cast("bigint" if t == "node" else spark_type(t)).alias(c) for c, t in outputs.items()), *(F.lit(None).cast(t).alias(k + "_r") for k, t in kinds.items()))
+        for r in wanted:
+            rows = f(self.graph, *r).select(*outputs, *(F.lit(r[k]).cast(t).alias(k + "_r") for k, t in kinds.items()))
+            out = out.unionByName(rows)
+        return list(columns), out
+
     # Updates.
     def on_create(self, patterns) -> None:
         self.wrote = True

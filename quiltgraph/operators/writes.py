@@ -33,8 +33,10 @@ def numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     for p, n in counts:
         offsets.append((p, total))
         total += n
-    table = F.create_map(*(F.lit(x).cast("bigint") for pair in offsets for x in pair)) if offsets else F.create_map(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
-    return df.withColumn(name, table[part] + F.col(mark).bitwiseAND((1 << 33) - 1)).drop(mark), total
+    at, first = fresh("part"), fresh("first")
+    table = df.sparkSession.createDataFrame(offsets, f"{at} bigint, {first} bigint")  # one row per partition
+    placed = df.join(F.broadcast(table), part == F.col(at))
+    return placed.withColumn(name, F.col(first) + F.col(mark).bitwiseAND((1 << 33) - 1)).drop(mark, at, first), total
 
 
 def storable(x: Typed, key: str) -> Typed:

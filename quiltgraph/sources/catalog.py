@@ -9,6 +9,7 @@ The catalog is a value: changes give new tables, and a copy is a snapshot.
 from __future__ import annotations
 
 import copy
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -20,6 +21,9 @@ from quiltgraph.errors import QueryError
 from quiltgraph.functions.types import from_spark, joined, widened
 
 SLOTS = 64
+ID_ROW = 16  # bytes that the optimizer gives a row of one id
+UNKNOWN = 1 << 60  # what it says of data of which it knows nothing
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 @dataclass
@@ -60,11 +64,14 @@ class Graph:
         out.nodes, out.edges, out.indexes = list(self.nodes), list(self.edges), list(self.indexes)
         return out
 
-    def rows_of(self, table) -> int:
-        """A table's row count, found once; of Parquet, from its footers."""
+    def rows_of(self, table) -> float:
+        """About how many rows a table has, by the optimizer's statistics of its ids; only data without any is counted, once."""
         key = id(table.df)
         if key not in self.counts:
-            self.counts[key] = (table.df, table.df.count())
+            stats = table.df.select("_id")._jdf.queryExecution().optimizedPlan().stats()
+            known, size = stats.rowCount(), int(str(stats.sizeInBytes()))
+            rows = float(str(known.get())) if known.isDefined() else size / ID_ROW if size < UNKNOWN else float(table.df.count())
+            self.counts[key] = (table.df, max(1.0, rows))
         return self.counts[key][1]
 
     def table(self, name: str) -> NodeTable:
@@ -73,8 +80,15 @@ class Graph:
             raise QueryError("EntityNotFound", "UnknownLabel", f"no node table {name}")
         return found[0]
 
-    def global_id(self, name: str, key: Column) -> Column:
-        return key.cast("bigint") * SLOTS + [t.name for t in self.nodes].index(name)
+    def global_id(self, name: str, key: Column, kind: T.DataType | None = None) -> Column:
+        return self.as_id(key, kind, [t.name for t in self.nodes].index(name))
+
+    @staticmethod
+    def as_id(key: Column, kind: T.DataType | None, slot: int) -> Column:
+        """A node's id by its key. Keys that are not whole numbers are hashed to 58 bits, which suits some hundred million nodes of a label; beyond, give whole numbers."""
+        if kind is None or isinstance(kind, (*WHOLE, T.DecimalType)):
+            return key.cast("bigint") * SLOTS + slot
+        return F.when(key.isNotNull(), F.xxhash64(key).bitwiseAND(F.lit(-SLOTS)) + slot)
 
     def id_of(self, name: str, key: int) -> int:
         return key * SLOTS + [t.name for t in self.nodes].index(name)
@@ -105,8 +119,8 @@ class Graph:
         for name, condition in (extra or {}).items():
             labels = F.when(condition, F.array_append(labels, F.lit(name))).otherwise(labels)
         kinds = {f.name: f.dataType for f in df.schema.fields}
-        columns = [(F.col(id_col).cast("bigint") * SLOTS + len(self.nodes)).alias("_id"), F.array_sort(labels).alias("_labels"), *(widened(F.col(c), kinds[c]).alias(p) for p, c in props.items())]
-        by_key = lambda key: df.where(F.col(id_col) == key).select(*columns)
+        columns = [self.as_id(F.col(id_col), kinds[id_col], len(self.nodes)).alias("_id"), F.array_sort(labels).alias("_labels"), *(widened(F.col(c), kinds[c]).alias(p) for p, c in props.items())]
+        by_key = (lambda key: df.where(F.col(id_col) == key).select(*columns)) if isinstance(kinds[id_col], WHOLE) else None
         self.nodes.append(NodeTable(label, df.select(*columns), frozenset([label]), frozenset([label, *(extra or {})]), {p: from_spark(kinds[c]) for p, c in props.items()}, by_key))
         return self
 
@@ -123,9 +137,9 @@ class Graph:
             names = list(df.columns)
             twin = [] if distinct_rows else [F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1)))]
             key = F.xxhash64(F.lit(len(self.edges)), *names, *twin)
-        ends = [self.global_id(label, F.col(c)) for label, c in (src, dst)]
+        ends = [self.global_id(label, F.col(c), kinds[c]) for label, c in (src, dst)]
         columns = [key.alias("_id"), ends[0].alias("_src"), ends[1].alias("_dst"), *(widened(F.col(c), kinds[c]).alias(p) for p, c in (props or {}).items())]
-        by_key = lambda end, k: df.where(F.col(src[1] if end == "_src" else dst[1]) == k).select(*columns)
+        by_key = (lambda end, k: df.where(F.col(src[1] if end == "_src" else dst[1]) == k).select(*columns)) if all(isinstance(kinds[c], WHOLE) for _, c in (src, dst)) else None
         self.edges.append(EdgeTable(type_, df.select(*columns), src[0], dst[0], {p: from_spark(kinds[c]) for p, c in (props or {}).items()}, by_key))
         return self
 
@@ -175,10 +189,28 @@ class Graph:
 
     # Snapshots.
     def snapshot_to(self, path: str) -> None:
-        """A consistent copy as Parquet; refuses a folder that exists."""
+        """A consistent copy as Parquet, with the catalog as JSON; refuses a folder that exists."""
         for kind, tables in (("nodes", self.nodes), ("edges", self.edges)):
             for k, t in enumerate(tables):
                 t.df.write.mode("error").parquet(f"{path}/{kind}/{k}")
+        about = {
+            "nodes": [{"name": t.name, "always": sorted(t.always), "may": sorted(t.may), "types": t.types} for t in self.nodes],
+            "edges": [{"type": t.type, "src": t.src, "dst": t.dst, "types": t.types} for t in self.edges],
+            "indexes": self.indexes,
+            "next_id": self.next_id,
+        }
+        self.spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("error").text(f"{path}/catalog")
+
+    @classmethod
+    def read_snapshot(cls, spark: SparkSession, path: str) -> Graph:
+        """The graph that :meth:`snapshot_to` wrote to a folder."""
+        about = json.loads(spark.read.text(f"{path}/catalog").head().value)
+        tupled = lambda t: tuple(map(tupled, t)) if isinstance(t, list) else t
+        types = lambda t: {p: tupled(k) for p, k in t["types"].items()}
+        read = lambda kind, k: spark.read.parquet(f"{path}/{kind}/{k}")
+        nodes = [NodeTable(t["name"], read("nodes", k), frozenset(t["always"]), frozenset(t["may"]), types(t)) for k, t in enumerate(about["nodes"])]
+        edges = [EdgeTable(t["type"], read("edges", k), t["src"], t["dst"], types(t)) for k, t in enumerate(about["edges"])]
+        return cls(spark, nodes, edges, [tupled(i) for i in about["indexes"]], about["next_id"])
 
 
 def spark_type(t) -> T.DataType:
