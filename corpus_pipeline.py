@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quiltgraph import ship
 from quiltgraph.llm import bpe, decontaminate, jaccard, repeats, toxicity
-from quiltgraph.llm.common import free_name, scratch_path, table, text_keys
+from quiltgraph.llm.common import drop_path, free_name, scratch_path, table, text_keys
 from quiltgraph.llm.queries import default_ranks
 
 TOXIC_AT = 0.5
@@ -116,4 +116,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}")
         docs = spark.read.parquet(f"{path}/{k}")
+        if k:
+            drop_path(spark, f"{path}/{k - 1}")
     return docs
