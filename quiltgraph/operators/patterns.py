@@ -45,6 +45,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 class Matcher:
     """Grows rows by the path patterns of one MATCH."""
 
@@ -238,13 +245,22 @@ class Matcher:
         columns = frontier.columns
         hops = [frontier] if low == 0 else []
         self.trace.append(f"VarExpand({here})-[{name or ''}:{'|'.join(types)}*{low}..{high}]-({there}) {direction}")
+        open_end = not self.has(there) and not there_element[2] and not there_element[3]
+        visited = 0
         for k in range(1, high + 1):
-            edge = edges
-            if k > UNROLLED:
-                frontier = checkpointed(frontier)
+            if k > UNROLLED or self.graph.work_cap and k > 1:
+                last, frontier = frontier, checkpointed(frontier)
+                if hops and hops[-1] is last:
+                    hops[-1] = frontier
                 if frontier.isEmpty():
                     break
-            step = frontier.join(edge, F.col(end) == F.col(near))
+                if self.graph.work_cap:
+                    visited += frontier.count()
+                    if visited > self.graph.work_cap:
+                        raise QueryError("ResourceError", "SizeLimit", f"trails of more than {self.graph.work_cap} steps", "Runtime")
+                if self.result_cap is not None and open_end and hops and united(hops).limit(self.result_cap).count() >= self.result_cap:
+                    break
+            step = frontier.join(edges, F.col(end) == F.col(near))
             if k > 1:
                 step = step.where(~F.array_contains(ids, F.col(rel.id)))
             grown = {c: F.col(c) for c in columns} | {ids: F.array_append(ids, F.col(rel.id)), end: F.col(far)}
@@ -257,10 +273,7 @@ class Matcher:
             frontier = step.select(*(v.alias(c) for c, v in grown.items()))
             if k >= low:
                 hops.append(frontier)
-        out = hops[0]
-        for h in hops[1:]:
-            out = out.unionByName(h)
-        self.df = out
+        self.df = united(hops)
         for kind, other, other_types in self.rels:
             if not types or not other_types or set(types) & other_types:
                 self.where(~F.array_contains(ids, F.col(other)) if kind == "one" else ~F.arrays_overlap(ids, other))
@@ -296,6 +309,7 @@ class Matcher:
 
     # Paths.
     keep_nodes = keep_rels = False
+    result_cap: int | None = None  # rows after which the query needs no more hops
 
     def match(self, patterns) -> None:
         todo = [(p, [e[1] or f"\0{fresh('n')}" for e in p[3][::2]]) for p in patterns]

@@ -153,6 +153,19 @@ class Query:
         self.sorted_by: list[tuple[str, bool, object]] = []
         self.wrote = False
 
+    result_cap: int | None = None
+
+    def cap_of(self, clauses: list[tuple]) -> int | None:
+        """Of a single relationship's rows straight to a LIMIT: how many are needed."""
+        if len(clauses) != 2 or clauses[0][0] != "match" or clauses[1][0] != "return":
+            return None
+        _, optional, patterns, where = clauses[0]
+        _, distinct, _, items, order, skip, limit = clauses[1]
+        plain = not (optional or where or distinct or order) and len(patterns) == 1 and len(patterns[0][3]) == 3 and not patterns[0][2]
+        if not plain or limit is None or any(has_aggregate(e) for e, _, _ in items):
+            return None
+        return self.constant(limit, "LIMIT") + (self.constant(skip, "SKIP") if skip is not None else 0)
+
     def rows(self) -> DataFrame:
         if self.df is None:
             self.df = self.spark.range(1).select(F.lit(1).alias(fresh("unit")))
@@ -161,6 +174,7 @@ class Query:
     def run(self, clauses: list[tuple]) -> DataFrame:
         self.used = self.used or properties_read(clauses)
         self.scored = {x[2][0][1] for x in walk(tuple(clauses)) if len(x) == 4 and x[0] == "call" and str(x[1]).lower() == "score" and x[2] and x[2][0][0] == "var"}
+        self.result_cap = self.cap_of(clauses)
         for k, c in enumerate(clauses):
             if c[0] == "return" and k != len(clauses) - 1:
                 raise semantic("InvalidClauseComposition", "RETURN must be last")
@@ -176,7 +190,9 @@ class Query:
 
     # Matching.
     def matcher(self, df: DataFrame | None, scope: Scope) -> Matcher:
-        return Matcher(self.graph, self.params, self.used, df, scope, self.trace)
+        m = Matcher(self.graph, self.params, self.used, df, scope, self.trace)
+        m.result_cap = self.result_cap
+        return m
 
     def columns_of(self, names) -> list[str]:
         """The columns of outer variables that a subquery may read."""

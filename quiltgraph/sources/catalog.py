@@ -58,6 +58,7 @@ class Graph:
     indexes: list[tuple[str, tuple, str]] = field(default_factory=list)
     next_id: int = 0
     counts: dict[int, tuple] = field(default_factory=dict)
+    work_cap: int | None = None  # steps of a pattern's trails, above which a query fails; each hop is then counted
 
     def copy(self) -> Graph:
         out = copy.copy(self)
