@@ -625,3 +625,18 @@ def test_chat_equals_plain_loops(spark, seed):
     messages += messages[:5]
     got = chat.format_messages(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string"), schemas)
     assert sorted(map(tuple, got.collect()), key=str) == plain_messages(messages, schemas)
+
+
+def test_very_long_texts_and_payloads(spark):
+    """Texts far above any buffer: near copies, a page of which most is one line, and a message."""
+    rng = random.Random(23)
+    long_ = " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(60_000))
+    docs = [(1, long_), (2, long_ + " one more word"), (3, long_[: len(long_) // 2]), (4, "short text of five words")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(spark.createDataFrame(docs, DOCS), 4, 85).collect()}
+    assert {d: c for d, (_, c) in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4} and got[4][0] == 2
+    page = "line of a page\n" * 300_000
+    pages = spark.createDataFrame([(1, "u", page), (2, "v", page + "x")], "page_id long, url string, html string")
+    assert {(r.page_id, r.payload_bytes, r.record_type) for r in warc.page_records(pages).collect()} == {(1, len(page), "response"), (2, len(page) + 1, "response")}
+    message = json.dumps({"tool_calls": [{"id": "a", "name": "n", "arguments": {"x": long_}}]})
+    rows = chat.format_messages(spark.createDataFrame([(1, 0, "assistant", message), (1, 1, "user", long_)], "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: (r.n_calls, long_ in r.message) for r in rows} == {0: (1, True), 1: (0, True)}
