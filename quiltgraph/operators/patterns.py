@@ -45,6 +45,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Trace(list):
+    """The operators of a query in order; with estimates of the rows after scans and expansions, where they are asked for."""
+
+    def __init__(self, estimating: bool = False):
+        super().__init__()
+        self.estimating, self.rows = estimating, 1.0
+
+    def grown(self, line: str, factor: float) -> None:
+        if self.estimating:
+            self.rows *= factor
+            line += f" ~{self.rows:,.0f} rows"
+        self.append(line)
+
+
 def united(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -55,7 +69,7 @@ def united(parts: list[DataFrame]) -> DataFrame:
 class Matcher:
     """Grows rows by the path patterns of one MATCH."""
 
-    def __init__(self, graph: Graph, params: dict, used: dict[str, set | None], df: DataFrame | None, scope: Scope, trace: list[str]):
+    def __init__(self, graph: Graph, params: dict, used: dict[str, set | None], df: DataFrame | None, scope: Scope, trace: Trace):
         self.graph, self.params, self.used, self.df, self.scope, self.trace = graph, params, used, df, dict(scope), trace
         self.rels: list[tuple[str, str, frozenset]] = []  # ("one" | "many", id column, types)
         self.hidden: dict[str, object] = {}
@@ -103,7 +117,8 @@ class Matcher:
     def scan_node(self, element, name: str) -> None:
         _, _, labels, props = element
         df, node = self.select_nodes(None, labels, self.wanted_of(element), name.strip("\0") or "n", False)
-        self.trace.append(f"NodeScan({name}:{':'.join(labels)})")
+        about = sum(self.graph.rows_of(t) for t in self.graph.node_tables(labels)) * (0.1 if props else 1) if self.trace.estimating else 0
+        self.trace.grown(f"NodeScan({name}:{':'.join(labels)})", about)
         if self.df is None:
             self.df = df
         else:
@@ -209,7 +224,7 @@ class Matcher:
             condition = condition & (F.col(old.id) == F.col(rel.id))
         elif isinstance(old, Value):
             condition = condition & (F.col(old.column)["_id"] == F.col(rel.id))
-        self.trace.append(f"Expand({here})-[{name or ''}:{'|'.join(types)}]-({there}) {direction}")
+        self.trace.grown(f"Expand({here})-[{name or ''}:{'|'.join(types)}]-({there}) {direction}", self.growth)
         self.df = self.df.join(edges, condition)
         if old is None:
             for kind, other, other_types in self.rels:
@@ -244,7 +259,7 @@ class Matcher:
         frontier = self.df.withColumns(first)
         columns = frontier.columns
         hops = [frontier] if low == 0 else []
-        self.trace.append(f"VarExpand({here})-[{name or ''}:{'|'.join(types)}*{low}..{high}]-({there}) {direction}")
+        self.trace.grown(f"VarExpand({here})-[{name or ''}:{'|'.join(types)}*{low}..{high}]-({there}) {direction}", self.growth)
         open_end = not self.has(there) and not there_element[2] and not there_element[3]
         visited = 0
         for k in range(1, high + 1):
@@ -309,6 +324,7 @@ class Matcher:
 
     # Paths.
     keep_nodes = keep_rels = False
+    growth = 0.0  # rows for each row, by which the next expansion multiplies
     result_cap: int | None = None  # rows after which the query needs no more hops
 
     def match(self, patterns) -> None:
@@ -354,6 +370,8 @@ class Matcher:
             if a > b:
                 rel = (*rel[:3], turned[rel[3]], *rel[4:])
             known = self.has(names[b])
+            if self.trace.estimating:
+                self.growth = self.fan_out(k, elements, names)
             self.expand(names[a], nodes[a], rel, names[b], nodes[b])
             if known:
                 self.check_node(nodes[b], names[b])

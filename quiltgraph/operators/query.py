@@ -19,7 +19,7 @@ from quiltgraph.functions import scalar
 from quiltgraph.functions.types import Typed
 from quiltgraph.operators import fulltext, writes
 from quiltgraph.operators.expressions import SUBQUERIES, Expressions, aggregates_of, has_aggregate, is_aggregate
-from quiltgraph.operators.patterns import Matcher
+from quiltgraph.operators.patterns import Matcher, Trace
 from quiltgraph.operators.scope import Node, Path, Rel, Scope, Value, fresh, null_safe
 from quiltgraph.plans.parser import walk
 from quiltgraph.sources.catalog import Graph, spark_type
@@ -54,6 +54,7 @@ def properties_read(clauses) -> dict[str, set | None]:
     used: dict[str, set | None] = {}
     same: list[tuple[str, str]] = []
     lists: set[str] = set()
+    mentions: list[tuple[str, bool]] = []  # of nodes in patterns, and whether with labels
 
     def add(name: str, key: str | None) -> None:
         if key is None or used.get(name, set()) is None:
@@ -109,8 +110,8 @@ def properties_read(clauses) -> dict[str, set | None]:
                 if e[1]:
                     add(e[1], k)
                 visit(x)
-            if e[1] and e[2]:
-                add(e[1], "_labels")
+            if e[1]:
+                mentions.append((e[1], bool(e[2])))
         elif kind == "rel":
             if e[1] and e[4] is not None:  # a list that is walked again is needed whole
                 if e[1] in lists:
@@ -132,6 +133,9 @@ def properties_read(clauses) -> dict[str, set | None]:
                 visit(x)
 
     visit(clauses)
+    names = [n for n, _ in mentions]
+    for name in {n for n, labelled in mentions if labelled and names.count(n) > 1}:  # checked again where it's bound already
+        add(name, "_labels")
     for _ in range(len(same) + 1):
         for old, new in same:
             if new in used:
@@ -139,17 +143,16 @@ def properties_read(clauses) -> dict[str, set | None]:
     if "*" in used:
         for name in names_in(clauses):
             used[name] = None
-    # A bare "_labels" mention of a node in several patterns needs the column only if it's bound by an id.
     return used
 
 
 class Query:
     """One query part (clauses up to a UNION) over a graph."""
 
-    def __init__(self, spark: SparkSession, graph: Graph, params: dict, procedures: dict, used: dict | None = None, scope: Scope | None = None, df: DataFrame | None = None, trace: list[str] | None = None):
+    def __init__(self, spark: SparkSession, graph: Graph, params: dict, procedures: dict, used: dict | None = None, scope: Scope | None = None, df: DataFrame | None = None, trace: Trace | None = None):
         self.spark, self.graph, self.params, self.procedures = spark, graph, params, procedures
         self.used, self.scope, self.df = used or {}, scope or {}, df
-        self.trace: list[str] = trace if trace is not None else []
+        self.trace = trace if trace is not None else Trace()
         self.sorted_by: list[tuple[str, bool, object]] = []
         self.wrote = False
 
@@ -176,6 +179,8 @@ class Query:
         self.scored = {x[2][0][1] for x in walk(tuple(clauses)) if len(x) == 4 and x[0] == "call" and str(x[1]).lower() == "score" and x[2] and x[2][0][0] == "var"}
         self.result_cap = self.cap_of(clauses)
         for k, c in enumerate(clauses):
+            if c[0] == "call" and c[3] is None and len(clauses) > 1:
+                raise semantic("UnexpectedSyntax", "YIELD * stands only in a call by itself")
             if c[0] == "return" and k != len(clauses) - 1:
                 raise semantic("InvalidClauseComposition", "RETURN must be last")
             getattr(self, f"on_{c[0]}")(*c[1:])
@@ -677,7 +682,7 @@ def execute(spark: SparkSession, graph: Graph, statement: dict, params: dict, pr
         else:
             graph.indexes.remove(key)
         return spark.range(0).select(), [statement["kind"]]
-    out, trace, names = None, [], None
+    out, trace, names = None, Trace(bool(statement["explain"])), None
     for part in statement["parts"]:
         q = Query(spark, graph, params, procedures, trace=trace)
         df = q.run(part)
