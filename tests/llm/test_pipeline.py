@@ -115,3 +115,22 @@ def test_spared_bytes():
     assert repeats.without([(0, 10), (20, 30)], [(2, 4), (3, 5), (25, 40)]) == [(0, 2), (5, 10), (20, 25)]
     assert repeats.without([(5, 8)], [(0, 20)]) == [] and repeats.without([(5, 8)], []) == [(5, 8)]
     assert decontaminate.byte_spans("É, bc d", [{"start": 0, "end": 1}, {"start": 1, "end": 3}]) == [(0, 2), (4, 8)]
+
+
+def test_recurring_benchmark_passages_go(spark, tmp_path):
+    """They stay only in documents that the next stage drops for them; a passage that occurs once is no repeat."""
+    rng = random.Random(34)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(3, 8))) for _ in range(n))
+    twice, once = text(60), text(60)
+    small = [(i, f"{text(900)} {twice} {text(600)}") for i in range(2)]  # 60 words of 1560: under a 20th
+    large = [(10 + i, f"{text(40)} {twice} {text(20)}") for i in range(2)]
+    docs = [*small, *large, (20, f"{text(900)} {once} {text(600)}")]
+    spark.createDataFrame([(1, twice), (2, once)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], COLUMNS)
+    pipeline.drop_repeats(spark, rows, str(tmp_path)).write.parquet(f"{tmp_path}/left")
+    rows = spark.read.parquet(f"{tmp_path}/left")
+    left = {r.doc_id: r.text for r in rows.collect()}
+    expected = {d: n for d, _, n, _, _ in repeats.brute_force(docs, 200)}
+    assert all(twice not in left[i] and len(t) - len(left[i]) == expected[i] > 200 for i, t in small)
+    assert all(f" {twice} " in left[i] for i, _ in large) and left[20] == dict(docs)[20]
+    assert {r.doc_id for r in pipeline.drop_contaminated(spark, rows, str(tmp_path)).collect()} == {0, 1, 20}
