@@ -22,6 +22,7 @@ from quiltgraph.operators.expressions import Expressions
 from quiltgraph.operators.scope import Node, Path, Rel, Scope, Value, fresh
 from quiltgraph.sources.catalog import EdgeTable, Graph, spark_type
 
+TURNED = {"out": "in", "in": "out", "both": "both"}
 UNROLLED = 6  # hops that are joined without looking whether the frontier is empty
 
 
@@ -153,19 +154,41 @@ class Matcher:
     def attach_node(self, element, name: str, id_column: str, tables: list[str] | None) -> None:
         """Binds a new node by an id that an edge gave; ``tables`` may hold it."""
         _, _, labels, props = element
-        wanted = self.wanted_of(element)
-        known = [t for t in self.graph.nodes if (tables is None or t.name in tables) and set(labels) <= t.may]
-        ensured = tables is not None and {t.name for t in known} == set(tables) and all(set(labels) <= t.always for t in known)
-        if ensured and wanted is not None and not wanted:
-            self.bind(name, Node(id_column, None, frozenset(labels)))
+        if self.told(element, tables) is not None:
+            self.bind_end(element, name, id_column, tables)
             return
-        df, node = self.select_nodes(known, labels, wanted, name.strip("\0") or "n", False)
+        known = [t for t in self.graph.nodes if (tables is None or t.name in tables) and set(labels) <= t.may]
+        df, node = self.select_nodes(known, labels, self.wanted_of(element), name.strip("\0") or "n", False)
         self.trace.append(f"NodeJoin({name}:{':'.join(labels)})")
         self.df = self.df.join(df, F.col(id_column) == F.col(node.id))
         self.bind(name, node)
         self.filter_props(node, props_of(props, self.params))
 
+    def told(self, element, tables: list[str] | None) -> dict[str, object] | None:
+        """What is read of a node at an edge's end and its id tells, by its type: nothing, or the key. None if its table must be read, for labels that the end's ``tables`` don't ensure or for other properties."""
+        labels, wanted = set(element[2]), self.wanted_of(element)
+        ends = [t for t in self.graph.nodes if tables is not None and t.name in tables]
+        if tables is None or wanted is None or not all(labels <= t.always for t in ends):
+            return None
+        keys = {t.key: t.types[t.key] for t in ends if len(ends) == 1 and t.by_key and t.key}
+        return {p: keys[p] for p in wanted} if wanted <= set(keys) else None
+
+    def bind_end(self, element, name: str, id_column: str, tables: list[str]) -> None:
+        """Binds a node whose id tells all that is read of it."""
+        props = {p: (fresh(f"{name.strip(chr(0)) or 'n'}_{p}"), t) for p, t in self.told(element, tables).items()}
+        if props:
+            self.where(F.col(id_column).isNotNull())
+            self.df = self.df.withColumns({c: self.graph.key_of(F.col(id_column)) for c, _ in props.values()})
+        self.bind(name, Node(id_column, None, frozenset(element[2]), props))
+        self.filter_props(self.bound(name), props_of(element[3], self.params))
+
     # Relationships.
+    @staticmethod
+    def ends_of(tables: list[EdgeTable], direction: str) -> list[str] | None:
+        """The node tables that edges lead to; None if they may be any."""
+        ends = {"out": [t.dst for t in tables], "in": [t.src for t in tables], "both": [x for t in tables for x in (t.src, t.dst)]}[direction]
+        return None if None in ends else sorted(set(ends))
+
     def edge_tables(self, types, direction: str, left: frozenset, right: frozenset) -> list[EdgeTable]:
         may = {t.name: t.may for t in self.graph.nodes}
         fits = lambda labels, end: end is None or labels <= may[end]
@@ -198,8 +221,7 @@ class Matcher:
             part = df if k == 0 else df.where(F.col(rel.src) != F.col(rel.dst))  # a loop counts once
             part = part.select("*", F.col(a).alias(near), F.col(b).alias(far))
             out = part if out is None else out.unionByName(part)
-        ends = {"out": [t.dst for t in tables], "in": [t.src for t in tables], "both": [x for t in tables for x in (t.src, t.dst)]}[direction]
-        return out, rel, near, far, None if None in ends else sorted(set(ends))
+        return out, rel, near, far, self.ends_of(tables, direction)
 
     def labels_of(self, name: str, element) -> frozenset:
         b = self.bound(name)
@@ -213,8 +235,11 @@ class Matcher:
             return
         hint = name or "r"
         edges, rel, near, far, tables = self.edges(element, left, right, self.wants(name), hint)
-        start = F.col(self.bound(here).id)
-        condition = start == F.col(near)
+        begins = not self.has(here)
+        if begins:
+            self.df = edges.where(F.col(near).isNotNull())
+            self.bind_end(here_element, here, near, self.ends_of(self.edge_tables(types, direction, left, right), TURNED[direction]))
+        condition = F.col(self.bound(here).id) == F.col(near)
         if self.has(there):
             if isinstance(self.bound(there), Value):
                 self.check_node(there_element, there)
@@ -224,8 +249,8 @@ class Matcher:
             condition = condition & (F.col(old.id) == F.col(rel.id))
         elif isinstance(old, Value):
             condition = condition & (F.col(old.column)["_id"] == F.col(rel.id))
-        self.trace.grown(f"Expand({here})-[{name or ''}:{'|'.join(types)}]-({there}) {direction}", self.growth)
-        self.df = self.df.join(edges, condition)
+        self.trace.grown(f"Expand({here})-[{name or ''}:{'|'.join(types)}]-({there}) {direction}{' of all edges' if begins else ''}", self.growth)
+        self.df = self.df.where(condition) if begins else self.df.join(edges, condition)
         if old is None:
             for kind, other, other_types in self.rels:
                 if not types or not other_types or set(types) & other_types:
@@ -355,23 +380,24 @@ class Matcher:
                 self.used[n] = None
         bound = [k for k, n in enumerate(names) if self.has(n)]
         start = bound[0] if bound else max(range(len(nodes)), key=lambda k: (self.rank(nodes[k]), -k))
+        first = None if bound else self.first_edge(start, elements, names)
         if bound:
             self.check_node(nodes[start], names[start])
-        else:
+        elif first is None:
             self.scan_node(nodes[start], names[start])
         segments: dict[int, object] = {}
-        turned = {"out": "in", "in": "out", "both": "both"}
         todo = set(range(len(nodes) - 1))
         while todo:
-            k = self.next_segment(todo, elements, names)
+            k = self.next_segment(todo, elements, names) if first is None else first
             todo.remove(k)
             rel = elements[2 * k + 1]
-            a, b = (k, k + 1) if self.has(names[k]) else (k + 1, k)
+            a, b = (k, k + 1) if (self.has(names[k]) if first is None else k == start) else (k + 1, k)
+            first = None
             if a > b:
-                rel = (*rel[:3], turned[rel[3]], *rel[4:])
-            known = self.has(names[b])
+                rel = (*rel[:3], TURNED[rel[3]], *rel[4:])
+            known = self.has(names[b]) or names[a] == names[b]
             if self.trace.estimating:
-                self.growth = self.fan_out(k, elements, names)
+                self.growth = self.fan_out(k, elements, names) if self.has(names[a]) else self.edge_rows(k, elements)
             self.expand(names[a], nodes[a], rel, names[b], nodes[b])
             if known:
                 self.check_node(nodes[b], names[b])
@@ -383,6 +409,18 @@ class Matcher:
             self.bind_path(path_name, names, segments, mode is None)
         self.keep_nodes = self.keep_rels = False
 
+    def first_edge(self, start: int, elements, names: list[str]) -> int | None:
+        """The relationship whose edges the pattern can begin with, as they tell all that is read of the node ``start``; None if its table must be read."""
+        if self.df is not None or elements[2 * start][3]:
+            return None
+        for k in (k for k in (start, start - 1) if 0 <= k < len(names) - 1):
+            _, name, types, direction, low, _, _ = elements[2 * k + 1]
+            left, right = (frozenset(elements[2 * j][2]) for j in (k, k + 1))
+            back = TURNED[direction] if k == start else direction
+            if low is None and not (name and self.has(name)) and self.told(elements[2 * start], self.ends_of(self.edge_tables(types, direction, left, right), back)) is not None:
+                return k
+        return None
+
     def next_segment(self, todo: set[int], elements, names: list[str]) -> int:
         """Of the relationships at bound nodes: one that closes a cycle, else the one that multiplies rows least."""
         near = [k for k in sorted(todo) if self.has(names[k]) or self.has(names[k + 1])]
@@ -405,6 +443,12 @@ class Matcher:
                 out += self.graph.rows_of(t) / max(1, nodes)
         return out if low is None else max(out, 1.0) ** min(high, 3)
 
+    def edge_rows(self, k: int, elements) -> float:
+        """About how many edges may match a relationship."""
+        _, _, types, direction, _, _, _ = elements[2 * k + 1]
+        left, right = (frozenset(elements[2 * j][2]) for j in (k, k + 1))
+        return sum(self.graph.rows_of(t) for t in self.edge_tables(types, direction, left, right)) * (2 if direction == "both" else 1)
+
     def bind_path(self, name: str, names: list[str], segments: dict, full: bool) -> None:
         if name in self.scope:
             raise semantic("VariableAlreadyBound", f"{name} is bound already")

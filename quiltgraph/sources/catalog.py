@@ -36,6 +36,7 @@ class NodeTable:
     may: frozenset
     types: dict[str, object]
     by_key: Callable[[int], DataFrame] | None = None  # the same rows for one key, read through the source's own column
+    key: str | None = None  # the property that is the key in _id, as long as by_key holds
 
 
 @dataclass
@@ -91,6 +92,11 @@ class Graph:
             return key.cast("bigint") * SLOTS + slot
         return F.when(key.isNotNull(), F.xxhash64(key).bitwiseAND(F.lit(-SLOTS)) + slot)
 
+    @staticmethod
+    def key_of(node_id: Column) -> Column:
+        """The whole number that :meth:`as_id` made an id of."""
+        return F.shiftright(node_id, SLOTS.bit_length() - 1)
+
     def id_of(self, name: str, key: int) -> int:
         return key * SLOTS + [t.name for t in self.nodes].index(name)
 
@@ -122,11 +128,11 @@ class Graph:
         kinds = {f.name: f.dataType for f in df.schema.fields}
         columns = [self.as_id(F.col(id_col), kinds[id_col], len(self.nodes)).alias("_id"), F.array_sort(labels).alias("_labels"), *(widened(F.col(c), kinds[c]).alias(p) for p, c in props.items())]
         by_key = (lambda key: df.where(F.col(id_col) == key).select(*columns)) if isinstance(kinds[id_col], WHOLE) else None
-        self.nodes.append(NodeTable(label, df.select(*columns), frozenset([label]), frozenset([label, *(extra or {})]), {p: from_spark(kinds[c]) for p, c in props.items()}, by_key))
+        self.nodes.append(NodeTable(label, df.select(*columns), frozenset([label]), frozenset([label, *(extra or {})]), {p: from_spark(kinds[c]) for p, c in props.items()}, by_key, next((p for p, c in props.items() if c == id_col), None)))
         return self
 
     def edge(self, type_: str, df: DataFrame, src: tuple[str, str], dst: tuple[str, str], props: dict[str, str] | None = None, edge_id: str | None = None, distinct_rows: bool = False) -> Graph:
-        """Registers ``df`` as edges between keys (label, column) of two node tables.
+        """Registers ``df`` as edges between keys (label, column) of two node tables, which must hold these keys.
 
         Without ``edge_id``, a column that tells edges apart, equal rows are numbered, which
         costs a shuffle in queries that read the edges' ids; ``distinct_rows`` says that there are none.
