@@ -1,14 +1,15 @@
 """Clauses to DataFrames: matching, projection, aggregation, subqueries, unions, calls.
 
 Correlated parts are decorrelated when the plan is made. EXISTS and pattern
-predicates become semi or anti joins on the distinct outer columns that they read;
-where they stand inside other expressions, a mark joined on those columns. OPTIONAL
+predicates become semi or anti joins on the outer ids and properties that they read,
+distinct where these repeat; inside other expressions, a mark joined on those columns. OPTIONAL
 MATCH and pattern comprehensions join what was found back on them, nulls being equal.
 """
 
 from __future__ import annotations
 
 import inspect
+import math
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,6 +27,7 @@ from quiltgraph.sources.catalog import Graph, spark_type
 
 
 
+SPARSE = 8  # combinations of nodes for each edge, beyond which they hardly repeat
 MOST_CALLS = 100  # of a procedure, with arguments that the rows give
 
 
@@ -54,7 +56,8 @@ def properties_read(clauses) -> dict[str, set | None]:
     used: dict[str, set | None] = {}
     same: list[tuple[str, str]] = []
     lists: set[str] = set()
-    mentions: list[tuple[str, bool]] = []  # of nodes in patterns, and whether with labels
+    mentions: list[tuple[str, frozenset]] = []  # of nodes in patterns, with their labels
+    counted: list[str] = []  # in count(DISTINCT), which takes nodes by their id
 
     def add(name: str, key: str | None) -> None:
         if key is None or used.get(name, set()) is None:
@@ -81,6 +84,8 @@ def properties_read(clauses) -> dict[str, set | None]:
                 add(e[2][0][1], "_labels")
             if e[1].lower() == "score":
                 add(e[2][0][1], "__score")
+        elif kind == "call" and e[1].lower() == "count" and len(e[2]) == 1 and e[2][0][0] == "var":
+            counted.append(e[2][0][1])
         elif kind == "call" and len(e) == 5:  # the clause
             visit(e[2])
             visit(e[4])
@@ -111,7 +116,7 @@ def properties_read(clauses) -> dict[str, set | None]:
                     add(e[1], k)
                 visit(x)
             if e[1]:
-                mentions.append((e[1], bool(e[2])))
+                mentions.append((e[1], frozenset(e[2])))
         elif kind == "rel":
             if e[1] and e[4] is not None:  # a list that is walked again is needed whole
                 if e[1] in lists:
@@ -133,9 +138,13 @@ def properties_read(clauses) -> dict[str, set | None]:
                 visit(x)
 
     visit(clauses)
-    names = [n for n, _ in mentions]
-    for name in {n for n, labelled in mentions if labelled and names.count(n) > 1}:  # checked again where it's bound already
-        add(name, "_labels")
+    first: dict[str, frozenset] = {}
+    for name, labels in mentions:
+        if not labels <= first.setdefault(name, labels):  # checked again where it's bound already
+            add(name, "_labels")
+    for name in counted:
+        if name not in first:
+            add(name, None)
     for _ in range(len(same) + 1):
         for old, new in same:
             if new in used:
@@ -199,14 +208,20 @@ class Query:
         m.result_cap = self.result_cap
         return m
 
-    def columns_of(self, names) -> list[str]:
-        """The columns of outer variables that a subquery may read."""
-        out: list[str] = []
-        for n in sorted(names & set(self.scope)):
-            for c in self.scope[n].columns():
-                if c in self.df.columns and c not in out:
-                    out.append(c)
-        return out
+    def seen_by(self, *parts) -> tuple[list[str], Scope]:
+        """The columns of outer variables that a subquery may read, and these variables: nodes and relationships by their id, with what it reads of them."""
+        reads, out = properties_read(parts), {}
+        labelled = {(x[1], label) for x in walk(parts) if len(x) == 4 and x[0] == "node" for label in x[2]}
+        whole = any(len(x) == 4 and x[0] == "path" and x[1] for x in walk(parts))  # a path may hold all of its nodes
+        for n in sorted(names_in(parts) & set(self.scope)):
+            b, read = self.scope[n], reads.get(n, set())
+            if isinstance(b, (Node, Rel)) and read is not None and not whole:
+                b = replace(b, props={p: c for p, c in b.props.items() if p in read})
+                if isinstance(b, Node) and "_labels" not in read and all(label in b.static for name, label in labelled if name == n):
+                    b = replace(b, labels=None)
+            out[n] = b
+        keys = list(dict.fromkeys(c for b in out.values() for c in b.columns() if c in self.df.columns))
+        return keys, {n: b for n, b in out.items() if all(c in keys for c in b.columns())}
 
     def matched(self, df: DataFrame | None, scope: Scope, patterns, where) -> tuple[DataFrame, Scope]:
         m = self.matcher(df, scope)
@@ -256,8 +271,7 @@ class Query:
             return
         self.trace.append("LeftOuterJoin")
         self.rows()
-        keys = self.columns_of(names_in(tuple(patterns)) | names_in(where))
-        outer = {n: b for n, b in self.scope.items() if all(c in keys for c in b.columns())}
+        keys, outer = self.seen_by(tuple(patterns), where)
         seed = self.df.select(*keys).distinct() if keys else None
         found, scope = self.matched(seed, outer, patterns, where)
         fresh_columns = [c for n, b in scope.items() if n not in outer for c in b.columns()]
@@ -294,8 +308,7 @@ class Query:
             return self.end_node(e)
         if e[0] == "patcomp":
             _, path, where, out = e
-            keys = self.columns_of(names_in(e))
-            outer = {n: b for n, b in self.scope.items() if all(c in keys for c in b.columns())}
+            keys, outer = self.seen_by(e)
             found, scope = self.matched(self.df.select(*keys).distinct() if keys else None, outer, [path], where)
             inner = Query(self.spark, self.graph, self.params, self.procedures, self.used, scope, found, self.trace)
             x = inner.prepared(out)(out)
@@ -306,7 +319,7 @@ class Query:
             return Typed(F.coalesce(F.col(name), F.array().cast(spark_type(kind))), kind)
         keys, found = self.found(e)
         mark = fresh("mark")
-        self.attach(found.withColumn(mark, F.lit(True)), keys, [mark])
+        self.attach((found.distinct() if keys else found).withColumn(mark, F.lit(True)), keys, [mark])
         return Typed(F.coalesce(F.col(mark), F.lit(False)), "bool")
 
     def end_node(self, e) -> Typed:
@@ -321,10 +334,11 @@ class Query:
         return node.struct()
 
     def found(self, e) -> tuple[list[str], DataFrame]:
-        """The distinct outer columns for which a pattern or subquery has a match."""
-        keys = self.columns_of(names_in(e))
-        outer = {n: b for n, b in self.scope.items() if all(c in keys for c in b.columns())}
-        seed = self.df.select(*keys).distinct() if keys else None
+        """The outer columns for which a pattern or subquery has a match; they may repeat."""
+        keys, outer = self.seen_by(e)
+        seed = self.df.select(*keys) if keys else None
+        if keys and (e[0] == "existsq" or not self.hardly_repeat(outer)):  # queries count what they find for each
+            seed = seed.distinct()
         if e[0] == "pattern":
             df, _ = self.matched(seed, outer, [e[1]], None)
         elif e[0] == "exists":
@@ -334,7 +348,12 @@ class Query:
             for clauses in e[1]:
                 part = self.subquery_rows(seed, outer, keys, list(clauses))
                 df = part if df is None else df.unionByName(part)
-        return keys, (df.select(*keys).distinct() if keys else df.limit(1).select())
+        return keys, (df.select(*keys) if keys else df.limit(1).select())
+
+    def hardly_repeat(self, outer: Scope) -> bool:
+        """Whether several nodes could make many more combinations than there are edges of any type, so that looking for equal ones costs more than it saves."""
+        nodes = [sum(self.graph.rows_of(t) for t in self.graph.node_tables(b.static)) for b in outer.values() if isinstance(b, Node)]
+        return len(nodes) > 1 and len(nodes) == len(outer) and math.prod(nodes) > SPARSE * max(map(self.graph.rows_of, self.graph.edges), default=0)
 
     def subquery_rows(self, seed, outer: Scope, keys: list[str], clauses: list[tuple]) -> DataFrame:
         """Rows of an inner query, with the outer columns carried through its projections."""
