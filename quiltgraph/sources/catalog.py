@@ -141,8 +141,10 @@ class Graph:
         if edge_id:
             key = F.col(edge_id).cast("bigint")
         else:
-            names = list(df.columns)
-            twin = [] if distinct_rows else [F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1)))]
+            names, twin = list(df.columns), []
+            if not distinct_rows:  # a column before the ids are made, so that conditions on the ends go below the shuffle
+                twin = [f"_twin{len(self.edges)}"]
+                df = df.withColumn(twin[0], F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1))))
             key = F.xxhash64(F.lit(len(self.edges)), *names, *twin)
         ends = [self.global_id(label, F.col(c), kinds[c]) for label, c in (src, dst)]
         columns = [key.alias("_id"), ends[0].alias("_src"), ends[1].alias("_dst"), *(widened(F.col(c), kinds[c]).alias(p) for p, c in (props or {}).items())]
