@@ -179,7 +179,7 @@ class Matcher:
         if props:
             self.where(F.col(id_column).isNotNull())
             self.df = self.df.withColumns({c: self.graph.key_of(F.col(id_column)) for c, _ in props.values()})
-        self.bind(name, Node(id_column, None, frozenset(element[2]), props))
+        self.bind(name, Node(id_column, None, frozenset(element[2]), props, frozenset(c for c, _ in props.values())))
         self.filter_props(self.bound(name), props_of(element[3], self.params))
 
     # Relationships.

@@ -521,11 +521,13 @@ class Query:
             if any(x[0] == "call" and x[1].lower() == "rand" for x in walk(a) if len(x) > 1 and isinstance(x[1], str)):
                 raise semantic("NonConstantExpression", "rand() inside an aggregate")
         evaluate = self.prepared(*(e for e, _ in keys), *(x for a in wanted if a[0] == "call" for x in a[2]))
-        added, group, extra, scope = {}, [], {}, {}
+        added, group, extra, scope, told = {}, [], {}, {}, {}
         for e, n in keys:
             b = self.scope.get(e[1]) if e[0] == "var" else None
             if b is not None and not isinstance(b, Value):
-                group += b.columns()
+                if isinstance(b, Node):
+                    told |= {c: self.graph.key_of(F.col(b.id)) for c in b.told}
+                group += [c for c in b.columns() if c not in told]
                 scope[n] = b
                 extra[e] = b.struct() if not (isinstance(b, Path) and b.nodes is None) else Typed(F.col(b.length), "int")
                 continue
@@ -561,6 +563,8 @@ class Query:
         alone = not group and bool(made)
         group = list(dict.fromkeys([*self.carried, *group]))
         self.df = (df.groupBy(*group).agg(*made) if group else df.agg(*made)) if made else df.select(*group).distinct()
+        if told:
+            self.df = self.df.withColumns(told)
         if alone and self.carried:  # one row for each outer row, also where nothing was found
             mark = fresh("mark")
             right = self.df.select(*(F.col(k).alias(k + "_r") for k in self.carried), *(c.col for c in results.values()), F.lit(True).alias(mark))

@@ -25,6 +25,7 @@ class Node:
     labels: str | None = None
     static: frozenset = frozenset()
     props: dict = field(default_factory=dict)  # name -> (column, type)
+    told: frozenset = frozenset()  # columns of properties that are the key in the id
 
     def columns(self) -> list[str]:
         return [self.id, *([self.labels] if self.labels else []), *(c for c, _ in self.props.values())]

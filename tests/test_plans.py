@@ -37,6 +37,9 @@ def test_a_key_is_read_from_the_id(spark):
     assert rows(pairs) == [(1, -3, 2), (2, 4, 1)]  # an edge to no key leads to no berth
     assert rows(s.query("MATCH (b:Berth)<-[:LIES_AT]-(s:Ship {k: 2}) RETURN b.no AS b, b.name AS n")) == [(4, "south")]
     assert rows(s.query("MATCH (s:Ship)-[:LIES_AT]->(b:Berth {no: -3}) RETURN s.k AS s")) == [(1,), (1,)]
+    perhaps = s.query("MATCH (s:Ship) OPTIONAL MATCH (s)-[:LIES_AT]->(b:Berth) WITH b, count(*) AS n RETURN b.no AS b, n")
+    assert "b_no" not in optimized(perhaps).split("Aggregate [")[1].split("]")[0]  # grouped by the id alone
+    assert rows(perhaps) == [(-3, 2), (4, 1), (None, 1)]
     with s.begin() as t:
         t.query("MATCH (b:Berth {no: 4}) SET b.no = 5")
     assert rows(s.query("MATCH (s:Ship)-[:LIES_AT]->(b:Berth) RETURN s.k AS s, b.no AS b")) == [(1, -3), (1, -3), (2, 5)]
