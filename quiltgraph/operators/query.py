@@ -58,6 +58,7 @@ def properties_read(clauses) -> dict[str, set | None]:
     lists: set[str] = set()
     mentions: list[tuple[str, frozenset]] = []  # of nodes in patterns, with their labels
     counted: list[str] = []  # in count(DISTINCT), which takes nodes by their id
+    refused: set[str] = set()  # in negated patterns, which an edge's end that isn't in its table would pass
 
     def add(name: str, key: str | None) -> None:
         if key is None or used.get(name, set()) is None:
@@ -73,6 +74,8 @@ def properties_read(clauses) -> dict[str, set | None]:
         if not isinstance(e, tuple):
             return
         kind = e[0]
+        if kind == "not" and e[1][0] in ("pattern", "exists", "existsq"):
+            refused.update(names_in(e[1]))
         if kind == "var":
             add(e[1], None)
         elif kind == "prop" and e[1][0] == "var":
@@ -145,6 +148,9 @@ def properties_read(clauses) -> dict[str, set | None]:
     for name in counted:
         if name not in first:
             add(name, None)
+    names = [n for n, _ in mentions]
+    for name in refused & ({n for n in names if names.count(n) > 1} | {new for _, new in same}):
+        add(name, "_id")  # so that its table is read
     for _ in range(len(same) + 1):
         for old, new in same:
             if new in used:
